@@ -100,7 +100,7 @@ def write_archives(records: DataFrame, path: str | None = None, *, archive_size:
             name = f"{attempt}-{len(made):05d}{SUFFIX}"
             data = archive_bytes(held, trained(samples))
             fs.create_dir(folder, recursive=True)
-            with fs.open_output_stream(f"{folder}/{name}") as f:
+            with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 f.write(data)
             made.append((name, len(held), len(data)))
             held.clear()
