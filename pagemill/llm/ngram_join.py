@@ -3,11 +3,13 @@
 1. One pass over the texts: a set for each document, documents with equal sets are one class
    (the set's hash), and shingles found in many documents are marked in a bitmap of fixed size.
 2. Similar classes are put into groups: classes that share a minimum hash are compared with the
-   first of them, and those that link make a group.
+   one of them that has most copies, and those with half of their shingles in common make a
+   group, linked or not.
 3. The matrix: for each shingle of a prefix, the groups whose union has it. A link needs a
-   shared prefix shingle under any one order of shingles; the order puts marked ones last, so
-   passages that many documents share open nothing. Classes meet other groups in it.
-4. For each class and each group it met: the overlap with the group's whole union bounds the
+   certain number of shared prefix shingles under any one order of shingles; the order puts
+   marked ones last, so passages that many documents share open nothing. Classes meet other
+   groups in it.
+4. For each class and each group it met, and its own if it isn't in the group's largest part: the overlap with the group's whole union bounds the
    overlap with its members; only groups that reach the bound are opened, and members compared.
 
 Sets are 64-bit hashes of shingles; all sums and thresholds are integers.
@@ -23,15 +25,19 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, pick, rows_of, stored
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
+#: Similar enough, in percent, for one group.
+SIMILAR = 50
 #: Shingles in more documents than HOT are marked. Counted are those below the LOW quantile of hashes, and all of documents with fewer than SHORT.
-HOT, LOW, SHORT = 48, 0.4, 64
+HOT, LOW, SHORT = 16, 0.45, 64
+#: A prefix has n // SPARE shingles more than one shared shingle would need.
+SPARE = 20
 _CUT = np.uint64(int(LOW * 2**64))
 #: Bits of each bitmap (4 MB), minimum hashes of a class, members of a block, bytes of one task's sets.
 BITS, MINIMA, BLOCK, TASK_BYTES = 1 << 25, 4, 256, 12 << 20
@@ -58,13 +64,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def least_overlap(n: int) -> int:
-    """A link of a set of n shares at least so many."""
-    return -(-PERCENT * n // 100)
+def prefix_length(n):
+    """For a number or an array of set sizes: one more than a link may miss, and n // SPARE more, so that linked sets share several."""
+    return n + PERCENT * -n // 100 + 1 + n // SPARE
 
 
-def linked(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int):
-    return 100 * common >= PERCENT * (n + m - common)
+def needed_hits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Shared prefix shingles that a set of n needs with one of m to link, seen from the first of the two whose prefix ends.
+
+    Up to that end all shared shingles are seen; after it there are n minus its prefix at most.
+    """
+    overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return overlap - (n - prefix_length(n))
 
 
 def slices_for(partitions: int) -> int:
@@ -95,8 +106,8 @@ def places(slices: np.ndarray | int, bits: np.ndarray, n: int) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    """The first |s| - least overlap + 1 shingles: unmarked low hashes, unmarked others, marked ones."""
-    p = len(s) - least_overlap(len(s)) + 1
+    """The first shingles in the order: unmarked low hashes, unmarked others, marked ones."""
+    p = prefix_length(len(s))
     marked = hot[mark(s, n)]
     low = s < _CUT
     first = s[~marked & low]
@@ -205,8 +216,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame
 
 
 def opened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Members (grp, part, cls, toks) and queries (grp, part, cls, toks): one link of each query to each part of a group that it reaches, if any."""
-    out_q, out_m = [], []
+    """Members (grp, part, cls, toks) and queries (grp, part, cls, toks): each query's most similar member of each part of a group, if it is similar at all; strong: they link."""
+    out = []
     members = {k: v for k, v in left.groupby(["grp", "part"], sort=False)}
     for key, queries in right.groupby(["grp", "part"], sort=False):
         if (own := members.get(key)) is None:
@@ -220,19 +231,21 @@ def opened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             q = np.frombuffer(toks, np.uint64)
             lo, hi = np.searchsorted(every, q, "left"), np.searchsorted(every, q, "right")
             n = hi - lo
-            if int((n > 0).sum()) < least_overlap(len(q)):  # the bound by the group's union
+            if 100 * int((n > 0).sum()) < SIMILAR * len(q):  # the bound by the group's union
                 continue
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
             common = np.bincount(owner[at], minlength=len(sets))
-            hit = np.flatnonzero(linked(common, len(q), sizes) & (ids != cls))
-            if len(hit):
-                out_q.append(cls)
-                out_m.append(ids[hit[0]])
-    return pd.DataFrame({"u": np.array(out_q, np.int64), "v": np.array(out_m, np.int64)})
+            common[ids == cls] = 0
+            best = int((common / (len(q) + sizes - common)).argmax())
+            c, union = int(common[best]), int(len(q) + sizes[best] - common[best])
+            if 100 * c >= SIMILAR * union:
+                out.append((cls, ids[best], 100 * c >= PERCENT * union))
+    u, v, strong = zip(*out, strict=True) if out else ((), (), ())
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "strong": np.array(strong, bool)})
 
 
 def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataFrame) -> DataFrame:
-    """met(q, grp), members(grp, cls) -> u, v: links between queries and members, one for each query and block at least where there is any.
+    """met(q, grp), members(grp, cls) -> u, v, strong: for each query and block of a group the most similar member, so a link wherever there is any.
 
     Groups are cut into blocks of members and queries into shares, so that no task holds an
     unbounded group; blocks go to tasks by hash, about TASK_BYTES of sets to one.
@@ -253,7 +266,7 @@ def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataF
     right = right.select("grp", part(F.col("b"), F.col("s")).alias("part"), F.col("q").alias("cls")).join(sets.select(*[F.col(c).alias(c) for c in sets.columns]), "cls")
     task = F.pmod(F.xxhash64("grp", "part"), F.lit(tasks)).alias("task")
     cols = [task, "grp", "part", "cls", "toks"]
-    return left.select(*cols).groupBy("task").cogroup(right.select(*cols).groupBy("task")).applyInPandas(opened, "u long, v long")
+    return left.select(*cols).groupBy("task").cogroup(right.select(*cols).groupBy("task")).applyInPandas(opened, "u long, v long, strong boolean")
 
 
 # --- the matrix
@@ -325,38 +338,56 @@ def regrouped(own: DataFrame, n: int) -> DataFrame:
     return own.mapInArrow(run, ENTRY)
 
 
-def meetings(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Classes and the other groups they meet at a shingle of this slice, sizes permitting."""
+def meetings(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Classes, the other groups they meet in this slice, at how many of its shingles, and how many hits in all they need.
+
+    In a run of one shingle, each class counts once for each group that comes later in order,
+    if sizes permit. A group's need is the least of those of its members that are met.
+    """
     tok, grp, cls, n = (np.concatenate([np.frombuffer(b, kind) for b in pdf[c]]) for c, kind in (("toks", np.uint64), ("grps", np.int64), ("clss", np.int64), ("ns", np.int32)))
     order = np.lexsort((cls, grp, tok))
     tok, grp, cls, n = tok[order], grp[order], cls[order], n[order].astype(np.int64)
-    new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+    new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])])
     tok, grp, cls, n = tok[new], grp[new], cls[new], n[new]
-    start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-    length = np.diff(np.concatenate([start, [len(tok)]]))
-    several = grp[start] != grp[start + length - 1]
-    start, length = start[several], length[several]
-    found: list[np.ndarray] = []
-
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        """Pairs of rows, by the order of groups within a run."""
-        ok = (grp[a] != grp[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
-        found.append(np.unique(np.stack([cls[a[ok]], grp[b[ok]]], 1), axis=0))
-
-    for r in np.unique(length):
-        at = start[length == r]
-        if r <= 512:
-            i, j = np.triu_indices(r, 1)
-            for k in range(0, len(at), max(1, 1_000_000 // len(i))):
-                s = at[k : k + max(1, 1_000_000 // len(i))][:, None]
-                keep((s + i).ravel(), (s + j).ravel())
-        else:  # a long run goes a row at a time, against the rows after it
-            for s in at:
-                for i in range(s, s + r - 1):
-                    keep(np.full(s + r - 1 - i, i), np.arange(i + 1, s + r))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"q": pairs[:, 0], "grp": pairs[:, 1]})
+    run_start = np.concatenate([[True], tok[1:] != tok[:-1]])
+    group_start = run_start | np.concatenate([[True], grp[1:] != grp[:-1]])
+    run, target = np.cumsum(run_start) - 1, np.cumsum(group_start) - 1
+    first = np.flatnonzero(group_start)
+    low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+    last = np.flatnonzero(np.concatenate([group_start[1:] & run_start[1:], [True]]))  # rows that end a run
+    later = target[last][run] - target  # groups of the run after a row's own
+    names, q = np.unique(cls, return_inverse=True)
+    groups, g = np.unique(grp[first], return_inverse=True)
+    rows = np.flatnonzero(later)
+    ends = np.cumsum(later[rows])
+    keys, hits, need, at = [], [], [], 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+        part = rows[at:to]
+        k = later[part]
+        src = np.repeat(part, k)
+        dst = np.repeat(target[part] + 1 - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(int(k.sum()))
+        ok = (100 * high[dst] >= PERCENT * n[src]) & (PERCENT * low[dst] <= 100 * n[src])
+        src, dst = src[ok], dst[ok]
+        u, back, c = np.unique(q[src] * len(groups) + g[dst], return_inverse=True, return_counts=True)
+        least = np.full(len(u), np.iinfo(np.int64).max)
+        few = np.minimum(needed_hits(n[src], low[dst]), needed_hits(high[dst], n[src]))
+        np.minimum.at(least, back, few - 2 * (low[dst] < high[dst]))  # rounding isn't monotone in a member's size
+        keys.append(u)
+        hits.append(c)
+        need.append(least)
+        at = to
+    if not keys:
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("q", "grp", "hits", "need")})
+    u, back = np.unique(np.concatenate(keys), return_inverse=True)
+    least = np.full(len(u), np.iinfo(np.int64).max)
+    np.minimum.at(least, back, np.concatenate(need))
+    total = np.bincount(back, np.concatenate(hits), minlength=len(u)).astype(np.int64)
+    return pd.DataFrame({"q": names[u // len(groups)], "grp": groups[u % len(groups)], "hits": total, "need": least})
+
+
+def grouped(links: DataFrame) -> DataFrame:
+    return stored(components(links).select(F.col("node").alias("cls"), F.col("component").alias("grp")), "groups")
 
 
 def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
@@ -374,28 +405,34 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     first = stored(first_pass(docs, n), "first")
     hot_bits = marked(first, n, hot)
     rows = first.where("slice IS NULL").select("doc_id", "n", "cls", *[f"m{i}" for i in range(MINIMA)])
-    classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)]), "classes")
-
-    # groups: each class against the first class of its buckets
-    buckets = classes.select("cls", "n", F.posexplode(F.array(*[f"m{i}" for i in range(MINIMA)])).alias("i", "m"))
-    leaders = buckets.groupBy("i", "m").agg(F.min("cls").alias("grp"), F.count("*").alias("k")).where("k > 1").drop("k")
-    sizes = classes.select(F.col("cls").alias("grp"), F.col("n").alias("gn"))
-    near = buckets.join(leaders, ["i", "m"]).where("cls <> grp").select("cls", "n", "grp").distinct().join(sizes, "grp")
-    near = near.where(f"100 * least(n, gn) >= {PERCENT} * greatest(n, gn)").select(F.col("cls").alias("q"), "grp")
-    near = stored(near, "near")
-    links = stored(compared(docs, classes, near, near.select("grp").distinct().withColumn("cls", F.col("grp"))), "links")
-    groups = stored(components(links).select(F.col("node").alias("cls"), F.col("component").alias("grp")), "groups")
+    classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)]), "classes")
+
+    # groups: each class against the class with most copies in its buckets, most likely what others were made from
+    buckets = classes.select("cls", "n", "copies", F.posexplode(F.array(*[f"m{i}" for i in range(MINIMA)])).alias("i", "m"))
+    leaders = buckets.groupBy("i", "m").agg(F.min(F.struct(-F.col("copies"), "cls")).getField("cls").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k")
+    sizes = classes.select(F.col("cls").alias("lead"), F.col("n").alias("ln"))
+    near = buckets.join(leaders, ["i", "m"]).where("cls <> lead").select("cls", "n", "lead").distinct().join(sizes, "lead")
+    near = stored(near.where(f"100 * least(n, ln) >= {SIMILAR} * greatest(n, ln)").select("cls", "lead"), "near")
+    ones = near.select(F.col("lead").alias("grp")).distinct().withColumn("cls", F.col("grp"))
+    near = stored(compared(docs, classes, near.select(F.col("cls").alias("q"), F.col("lead").alias("grp")), ones), "near")
+    links = near.where("strong").select("u", "v")
+    groups = grouped(near)
 
     # the matrix: classes that meet other groups
     made = stored(prefixes(docs, hot_bits, bitmap(groups.select("cls")), n), "matrix")
     own = made.where("slice IS NULL").select("cls", "n", "own").dropDuplicates(["cls"]).join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     matrix = made.where("slice IS NOT NULL").select("slice", "toks", "grps", "clss", "ns").union(regrouped(own, n))
-    met = stored(matrix.groupBy("slice").applyInPandas(meetings, "q long, grp long").distinct(), "meetings")
+    met = matrix.groupBy("slice").applyInPandas(meetings, "q long, grp long, hits long, need long")
+    met = stored(met.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("q", "grp"), "meetings")
+    # within a group, whoever isn't in its largest part by links asks all of it
+    parts = groups.join(grouped(links).withColumnRenamed("grp", "part"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    main = parts.groupBy("grp", "part").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max(F.struct("k", "part")).getField("part").alias("main"))
+    inner = parts.join(main, "grp").where("part <> main").select(F.col("cls").alias("q"), "grp")
     alone = met.select("grp").distinct().join(groups.select("grp").distinct(), "grp", "left_anti").select("grp", F.col("grp").alias("cls"))
-    more = compared(docs, classes, met, groups.select("grp", "cls").union(alone))
+    more = compared(docs, classes, met.union(inner), groups.select("grp", "cls").union(alone)).where("strong").select("u", "v")
 
-    parts = components(links.union(more))
-    rooted = classes.select("cls", "rep").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    found = components(links.union(more))
+    rooted = classes.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = rooted.join(least, "component").select("cls", "component_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
