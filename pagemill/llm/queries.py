@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, ngram_join, packing, quality, tokens, warc
+from . import embedding_dedup, language, licenses, mixing, ngram_join, packing, quality, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_rows(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op3_license_scan, op5_language_id, op6_quality_rules, op7_warc_roundtrip, op8_token_counts, op9_harmonic_packing, op10_source_mixing)
+    for f in (op1_ngram_jaccard_join, op3_license_scan, op4_embedding_dedup, op5_language_id, op6_quality_rules, op7_warc_roundtrip, op8_token_counts, op9_harmonic_packing, op10_source_mixing)
 }
 
 ORACLES: dict[str, str] = {"op10_source_mixing": mixing.SQL}
