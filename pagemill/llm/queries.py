@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language, licenses, mixing, ngram_join, packing, quality, tokens, warc
+from . import embedding_dedup, language, licenses, lm_scoring, mixing, ngram_join, packing, quality, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op3_license_scan, op4_embedding_dedup, op5_language_id, op6_quality_rules, op7_warc_roundtrip, op8_token_counts, op9_harmonic_packing, op10_source_mixing)
+    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_license_scan, op4_embedding_dedup, op5_language_id, op6_quality_rules, op7_warc_roundtrip, op8_token_counts, op9_harmonic_packing, op10_source_mixing)
 }
 
 ORACLES: dict[str, str] = {"op10_source_mixing": mixing.SQL}
