@@ -38,6 +38,8 @@ SIMILAR = 50
 HOT, LOW, SHORT = 16, 0.45, 64
 #: A prefix has n // SPARE shingles more than one shared shingle would need.
 SPARE = 20
+#: What a task holds of shingles before it passes them on, and of pairs while it counts them.
+TOKENS_AT_ONCE, PAIRS_AT_ONCE = 1_500_000, 400_000
 _CUT = np.uint64(int(LOW * 2**64))
 #: Bits of each bitmap (4 MB), minimum hashes of a class, members of a block, bytes of one task's sets.
 BITS, MINIMA, BLOCK, TASK_BYTES = 1 << 25, 4, 256, 12 << 20
@@ -108,7 +110,7 @@ def places(slices: np.ndarray | int, bits: np.ndarray, n: int) -> np.ndarray:
 def prefix(s: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
     """The first shingles in the order: unmarked low hashes, unmarked others, marked ones."""
     p = prefix_length(len(s))
-    marked = hot[mark(s, n)]
+    marked = bit(hot, mark(s, n))
     low = s < _CUT
     first = s[~marked & low]
     if len(first) >= p:
@@ -149,7 +151,7 @@ def first_pass(docs: DataFrame, n: int) -> DataFrame:
             if len(rows[0]) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows] + [pa.nulls(len(rows[0]), pa.int32()), pa.nulls(len(rows[0]), pa.binary())], schema=schema)
                 rows = [[] for _ in rows]
-            if size >= 4_000_000:
+            if size >= TOKENS_AT_ONCE:
                 yield flush()
                 counted, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows] + [pa.nulls(len(rows[0]), pa.int32()), pa.nulls(len(rows[0]), pa.binary())], schema=schema)
@@ -170,12 +172,17 @@ def marked(first: DataFrame, n: int, hot: int) -> np.ndarray:
         bits[places(0, np.unique(often), n)] = True
         return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    out = np.zeros(BITS, bool)
+    out = np.zeros(BITS // 8, np.uint8)
     for r in first.where("slice IS NOT NULL").select("slice", "blob").groupBy("slice").applyInPandas(count, "slice int, bits binary").collect():
-        out[r["slice"] * per : (r["slice"] + 1) * per] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:per].astype(bool)
+        out[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def bit(bits: np.ndarray, at: np.ndarray | int):
+    """Whether bits of a packed bitmap are set."""
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1 if isinstance(at, np.ndarray) else bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
+
+
 def bitmap(keys: DataFrame) -> np.ndarray:
     """Bits of pmod(key, BITS) for a table of one long column, packed by ranges; a filter with false hits, never false misses."""
     span = 1 << 16
@@ -187,9 +194,9 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
     place = F.pmod(F.col(keys.columns[0]), F.lit(BITS))
     parts = keys.select((place / span).cast("int").alias("part"), (place % span).cast("int").alias("at")).distinct()
-    out = np.zeros(BITS, bool)
+    out = np.zeros(BITS // 8, np.uint8)
     for r in parts.groupBy("part").applyInPandas(pack, "part int, bits binary").collect():
-        out[r["part"] * span : (r["part"] + 1) * span] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+        out[r["part"] * span // 8 : (r["part"] + 1) * span // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -204,7 +211,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = want[b.column("at").to_numpy()]
+            hit = bit(want, b.column("at").to_numpy())
             part = b.filter(pa.array(hit))
             for i in range(0, part.num_rows, 512):
                 sets = [shingles(t) for t in part.column("text").slice(i, 512).to_pylist()]
@@ -310,14 +317,14 @@ def prefixes(docs: DataFrame, hot: np.ndarray, grouped: np.ndarray, n: int) -> D
                 continue
             seen.add(cls)
             p = prefix(s, hot, n)
-            if grouped[cls % BITS]:
+            if bit(grouped, cls % BITS):
                 later.append((cls, len(s), p.tobytes()))
             else:
                 toks.append(p)
                 clss.append(cls)
                 ns.append(len(s))
             size += len(p)
-            if size >= 4_000_000:
+            if size >= TOKENS_AT_ONCE:
                 yield from flush()
                 toks, clss, ns, size, later = [], [], [], 0, []
         yield from flush()
@@ -362,7 +369,7 @@ def meetings(pdf: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum(later[rows])
     keys, hits, need, at = [], [], [], 0
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
         part = rows[at:to]
         k = later[part]
         src = np.repeat(part, k)
