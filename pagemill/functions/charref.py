@@ -15,7 +15,7 @@ NAMED = {
     "quot;": '"',
     "quot": '"',
     "apos;": "'",
-    "nbsp;": " ",
+    "nbsp;": "\u00a0",
     "copy;": "©",
     "reg;": "®",
     "trade;": "™",

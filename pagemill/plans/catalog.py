@@ -1,10 +1,248 @@
-"""The registered queries of the HTML operators and their SQL."""
+"""The registered queries of the HTML operators, and SQL for the same rows where SQL can say it.
+
+The SQL knows the pages' structure and nothing of the kernel: it blanks script and style
+bodies and then works with regular expressions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import escape_attribute, escape_html, map_code_point, named_reference, naive_strip_script, preprocess, visible
+from ..operators import relational
+from ..operators.lex import build_tree, decode_references, doctypes, end_states, lexed, parse_errors, state_trace, tokenize
+from ..operators.sanitize import mutation_check, parse_in_contexts, sanitize
+from ..operators.states import TITLES, VOID
+from ..sources.documents import pages
+from . import fixtures
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+#: The pages without the text inside script and style; then the text outside tags, references decoded (& last).
+BLANKED = "WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs'), '<style>.*?</style>', '<style></style>', 'gs') AS h FROM pages)"
+DECODED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', chr(169)), '&amp;', '&')"
+TEXT = DECODED.format("regexp_replace(h, '<[^>]*>', '', 'g')")
+RAW = "length(regexp_extract(html, '<script>(.*?)</script>', 1, 's')) + length(regexp_extract(html, '<style>(.*?)</style>', 1, 's'))"
+
+
+@registered("SELECT page_id, length(replace(replace(html, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)))::BIGINT AS n FROM pages")
+def preprocess_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.length(preprocess(F.col("html"))).cast("long").alias("n"))
+
+
+@registered(
+    BLANKED
+    + f""", c AS (SELECT page_id,
+      len(regexp_extract_all(h, '<[a-z][^>]*>'))::BIGINT AS "StartTag", len(regexp_extract_all(h, '</[a-z][^>]*>'))::BIGINT AS "EndTag",
+      len(regexp_extract_all(h, '<!--.*?-->'))::BIGINT AS "Comment", len(regexp_extract_all(h, '<!DOCTYPE'))::BIGINT AS "DOCTYPE", 1::BIGINT AS "EOF",
+      (length({TEXT}) + {RAW})::BIGINT AS "Character" FROM b)
+    SELECT page_id, kind, n FROM c UNPIVOT (n FOR kind IN ("StartTag", "EndTag", "Comment", "DOCTYPE", "EOF", "Character")) WHERE n > 0"""
+)
+def token_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each kind on each page, characters one by one, as a tree builder would have them tokenized."""
+    n = F.sum(F.coalesce(F.col("n_chars"), F.lit(1)).cast("long")).alias("n")
+    return tokenize(pages(spark, sf_dir), driven=True).groupBy(F.col("doc_id").alias("page_id"), "kind").agg(n)
+
+
+@registered(BLANKED + " SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM b) GROUP BY tag")
+def start_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(pages(spark, sf_dir), driven=True, kinds=["StartTag"]).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def href_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attrs = tokenize(pages(spark, sf_dir), driven=True, kinds=["StartTag"]).where("tag = 'a'").select(F.col("doc_id").alias("page_id"), F.inline("attrs"))
+    return attrs.where("name = 'href'").select("page_id", F.col("value").alias("href"))
+
+
+@registered(BLANKED + " SELECT name, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(t, ' ([a-z]+)=', 1)) AS name FROM (SELECT unnest(regexp_extract_all(h, '<[a-z][^>]*>')) AS t FROM b)) GROUP BY name")
+def attribute_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(pages(spark, sf_dir), driven=True, kinds=["StartTag"]).select(F.inline("attrs")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1, 's')) AS data FROM pages")
+def comment_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(pages(spark, sf_dir), driven=True, kinds=["Comment"]).select(F.col("doc_id").alias("page_id"), "data")
+
+
+@registered("SELECT page_id, lower(regexp_extract(html, '<!DOCTYPE ([a-zA-Z]+)', 1)) AS name, NULL::VARCHAR AS public_id, NULL::VARCHAR AS system_id, false AS force_quirks FROM pages")
+def doctype_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doctypes(pages(spark, sf_dir)).withColumnRenamed("doc_id", "page_id")
+
+
+@registered("SELECT page_id, " + DECODED.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')") + " AS title FROM pages")
+def title_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = build_tree(pages(spark, sf_dir))
+    titles = nodes.where("tag = 'title'").select(F.col("doc_id").alias("d"), F.col("node").alias("title"))
+    texts = nodes.where("kind = 'text'").join(titles, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("title")))
+    return relational.ordered_text(texts, "doc_id", order="pre", name="title").withColumnRenamed("doc_id", "page_id")
+
+
+@registered(BLANKED + f" SELECT page_id, md5({TEXT}) AS digest FROM b")
+def visible_text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each page outside script and style."""
+    nodes = build_tree(pages(spark, sf_dir))
+    raw = nodes.where("tag IN ('script', 'style')").select(F.col("doc_id").alias("d"), F.col("node").alias("p"))
+    texts = nodes.where("kind = 'text'").join(raw, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("p")), "left_anti")
+    return relational.ordered_text(texts, "doc_id", order="pre").select(F.col("doc_id").alias("page_id"), F.md5("text").alias("digest"))
+
+
+@registered(
+    BLANKED
+    + """, s AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag, 1 AS d FROM b
+      UNION ALL SELECT page_id, unnest(regexp_extract_all(h, '</([a-z][a-z0-9]*)', 1)) AS tag, -1 AS d FROM b)
+    SELECT page_id, tag, sum(d)::BIGINT AS n FROM s WHERE tag NOT IN ('br', 'meta') GROUP BY page_id, tag HAVING sum(d) > 0"""
+)
+def unclosed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = tokenize(pages(spark, sf_dir), driven=True, kinds=["StartTag", "EndTag"]).where(~F.col("tag").isin(*sorted(VOID)))
+    n = F.sum(F.when(F.col("kind") == "StartTag", 1).otherwise(-1)).cast("long").alias("n")
+    return tags.groupBy(F.col("doc_id").alias("page_id"), "tag").agg(n).where("n > 0")
+
+
+@registered("SELECT page_id, regexp_replace(html, '<script\\b[^>]*>.*?</script\\s*>', '', 'gis') AS html FROM pages")
+def naive_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select(F.col("doc_id").alias("page_id"), naive_strip_script(F.col("html")).alias("html"))
+
+
+@registered(BLANKED + " SELECT page_id, len(regexp_extract_all(h, '<[a-z][^>]*>'))::BIGINT AS elements, len(regexp_extract_all(h, '<!--.*?-->'))::BIGINT AS comments FROM b")
+def tree_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = lambda k: F.count_if(F.col("kind") == k)
+    return build_tree(pages(spark, sf_dir)).groupBy(F.col("doc_id").alias("page_id")).agg(kinds("element").alias("elements"), kinds("comment").alias("comments"))
+
+
+@registered()
+def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_tree(pages(spark, sf_dir)).groupBy(F.col("doc_id").alias("page_id")).agg(F.max("depth").alias("depth"), F.count("*").alias("nodes"))
+
+
+@registered("SELECT page_id, 'title' AS tag FROM pages")
+def path_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second child of the first child of each page's first node."""
+    return relational.child_at(build_tree(pages(spark, sf_dir)), 0, 0, 1).select(F.col("doc_id").alias("page_id"), "tag")
+
+
+@registered("SELECT page_id, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS href FROM pages WHERE html LIKE '%<a href=%'")
+def first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = relational.first_of(tokenize(pages(spark, sf_dir), driven=True, kinds=["StartTag"]), "tag = 'a'")
+    return first.select(F.col("doc_id").alias("page_id"), F.filter("attrs", lambda a: a["name"] == "href")[0]["value"].alias("href"))
+
+
+@registered(BLANKED + " SELECT page_id FROM b WHERE regexp_matches(h, '&(amp|lt|gt|quot)([^;]|$)')")
+def missing_semicolon_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pages(spark, sf_dir)
+    found = relational.with_error(docs, parse_errors(docs, driven=True), "missing-semicolon-after-character-reference")
+    return found.select(F.col("doc_id").alias("page_id"))
+
+
+@registered()
+def parse_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the pure tokenizer, which takes scripts for markup."""
+    return parse_errors(pages(spark, sf_dir)).groupBy("state", "code").agg(F.count("*").alias("n"))
+
+
+@registered()
+def first_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.first_errors(parse_errors(pages(spark, sf_dir))).withColumnRenamed("doc_id", "page_id")
+
+
+@registered()
+def state_trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.trace_runs(state_trace(pages(spark, sf_dir))).withColumnRenamed("doc_id", "page_id")
+
+
+@registered()
+def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.coalesce_runs(tokenize(pages(spark, sf_dir)), order="tok", value="kind").withColumnRenamed("doc_id", "page_id")
+
+
+@registered()
+def token_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.shape(tokenize(pages(spark, sf_dir), driven=True)).withColumnRenamed("doc_id", "page_id")
+
+
+@registered()
+def pretty_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.pretty(tokenize(pages(spark, sf_dir), driven=True)).withColumnRenamed("doc_id", "page_id")
+
+
+@registered("SELECT page_id, 0::BIGINT AS scripts, 0::BIGINT AS handlers FROM pages")
+def sanitize_no_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of scripts and handlers once sanitized pages are parsed again."""
+    tags = tokenize(sanitize(pages(spark, sf_dir)), driven=True, kinds=["StartTag", "EOF"])
+    handlers = F.size(F.filter("attrs", lambda a: a["name"].startswith("on")))
+    return tags.groupBy(F.col("doc_id").alias("page_id")).agg(F.count_if(F.col("tag") == "script").alias("scripts"), F.sum(F.coalesce(F.when(F.col("kind") == "StartTag", handlers), F.lit(0))).cast("long").alias("handlers"))
+
+
+@registered()
+def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize(pages(spark, sf_dir)).withColumnRenamed("doc_id", "page_id")
+
+
+@registered("SELECT page_id, true AS inert, true AS mutates FROM pages")
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stored as a textarea's text and put into a div later."""
+    return mutation_check(pages(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), "inert", "mutates")
+
+
+@registered()
+def fragments_in_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parse_in_contexts(pages(spark, sf_dir), ("div", "textarea", "style", "script", "plaintext"))
+    return found.select(F.col("doc_id").alias("page_id"), "context", F.size("nodes").alias("nodes"))
+
+
+@registered("SELECT page_id FROM pages")
+def pure_differs_from_driven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose tokens depend on who drives the tokenizer: each has markup inside a script."""
+    docs = pages(spark, sf_dir)
+    flat = lambda driven: tokenize(docs, driven=driven).select("doc_id", "tok", "kind", "tag", "data")
+    return relational.differences(flat(False), flat(True)).select(F.col("doc_id").alias("page_id")).distinct()
+
+
+@registered("SELECT url, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, replace(replace(url, '&', '&amp;'), '\"', '&quot;') AS attribute, replace(url, chr(10), '\\n') AS shown FROM pages")
+def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return pages(spark, sf_dir).select("url", escape_html(u).alias("escaped"), escape_attribute(u).alias("attribute"), visible(u).alias("shown"))
+
+
+@registered("SELECT page_id, " + DECODED.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')") + " AS heading FROM pages")
+def decoded_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References decoded in a plain column, without a parse."""
+    return pages(spark, sf_dir).select(F.col("doc_id").alias("page_id"), decode_references(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("heading"))
+
+
+@registered("SELECT i::BIGINT AS n, CASE WHEN i = 0 OR i > 1114111 OR i BETWEEN 55296 AND 57343 THEN 65533 WHEN i = 128 THEN 8364 WHEN i = 150 THEN 8211 WHEN i = 159 THEN 376 ELSE i END::INTEGER AS mapped, CASE WHEN i = 0 THEN 'x' END AS name FROM (SELECT unnest([0, 65, 127, 128, 129, 150, 159, 160, 55296, 57343, 57344, 1114111, 1114112]) AS i)")
+def mapped_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric and named references by native expressions."""
+    n = spark.sql("SELECT explode(array(0L, 65L, 127L, 128L, 129L, 150L, 159L, 160L, 55296L, 57343L, 57344L, 1114111L, 1114112L)) AS n")
+    return n.select("n", map_code_point(F.col("n")).alias("mapped"), F.when(named_reference(F.concat(F.lit("amp;"), F.col("n").cast("string"))) == "&", F.when(F.col("n") == 0, "x")).alias("name"))
+
+
+@registered("SELECT * FROM (VALUES " + ", ".join(f"('{t}', true)" for t in TITLES.values()) + ") t(state, known)")
+def state_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state takes a step on one and the same input."""
+    docs = spark.createDataFrame([(t, "x>", s) for s, t in TITLES.items()], "doc_id string, html string, init_state string").where("init_state NOT LIKE '%END_TAG_NAME'")
+    named = spark.createDataFrame([(t, "x>", s) for s, t in TITLES.items()], "doc_id string, html string, init_state string").where("init_state LIKE '%END_TAG_NAME'")
+    stepped = end_states(docs, init_state=F.col("init_state"), steps=1)
+    opened = named.withColumn("html", F.lit("</x>")).withColumn("init_state", F.regexp_replace("init_state", "_END_TAG_NAME$", ""))
+    reached = lexed(opened, want=("trace",), init_state=F.col("init_state"), steps=4).where(F.exists("x.trace", lambda t: t["state"] == F.col("doc_id"))).select("doc_id")
+    return stepped.select("doc_id").union(reached).select(F.col("doc_id").alias("state"), F.lit(True).alias("known"))
+
+
+for _name, (_query, _sql) in fixtures.QUERIES.items():
+    QUERIES[_name], ORACLES[_name] = _query, _sql
