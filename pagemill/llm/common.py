@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,3 +60,63 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows and bytes of the batches that texts travel in to Python workers; set where the session has Spark's defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a worker holds of its input at once, on both sides of the pipe."""
+    for key, (usual, small) in BATCH.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, small)
+
+
+@lru_cache(maxsize=1)
+def _trimmer() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are reused, and what one task needed would stay with them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if f := _trimmer():
+        f(0)
+
+
+def trimmed(f: Callable) -> Callable:
+    """f, a worker function on batches or on groups, with trim() after it."""
+
+    @wraps(f)
+    def batches(it):
+        try:
+            yield from f(it)
+        finally:
+            trim()
+
+    return batches
+
+
+def trimmed_group(f: Callable) -> Callable:
+    def group(data):
+        out = f(data)
+        del data
+        trim()
+        return out
+
+    return group
+
+
+def trimmed_pair(f: Callable) -> Callable:
+    def pair(left, right):
+        out = f(left, right)
+        del left, right
+        trim()
+        return out
+
+    return pair

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, small_batches, stored, trimmed
 
 #: Hashed n-gram space, and the n of its n-grams.
 DIM, NGRAMS = 1 << 12, (1, 2, 3)
@@ -155,6 +155,8 @@ def identify(docs: DataFrame, model: Centroids | None, keep: dict[str, str]) ->
     Without a model all are `und`. Repeated rows, null ids and other columns change nothing.
     """
 
+    small_batches(docs.sparkSession)
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
@@ -170,7 +172,7 @@ def identify(docs: DataFrame, model: Centroids | None, keep: dict[str, str]) ->
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], [*keep, "lang_pred", "score", "accepted"])
 
     schema = ", ".join([*[f"`{c}` {t}" for c, t in keep.items()], PREDICTED])
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(trimmed(predict), schema)
 
 
 def crc_fold(modulus: int) -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, pick, rows_of, stored
+from .common import n_partitions, pick, rows_of, small_batches, stored, trimmed, trimmed_group, trimmed_pair
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
@@ -39,7 +39,7 @@ HOT, LOW, SHORT = 16, 0.45, 64
 #: A prefix has n // SPARE shingles more than one shared shingle would need.
 SPARE = 20
 #: What a task holds of shingles before it passes them on, and of pairs while it counts them.
-TOKENS_AT_ONCE, PAIRS_AT_ONCE = 1_500_000, 400_000
+TOKENS_AT_ONCE, PAIRS_AT_ONCE = 600_000, 400_000
 _CUT = np.uint64(int(LOW * 2**64))
 #: Bits of each bitmap (4 MB), minimum hashes of a class, members of a block, bytes of one task's sets.
 BITS, MINIMA, BLOCK, TASK_BYTES = 1 << 25, 4, 256, 12 << 20
@@ -158,7 +158,7 @@ def first_pass(docs: DataFrame, n: int) -> DataFrame:
         if counted:
             yield flush()
 
-    return docs.mapInArrow(run, FIRST)
+    return docs.mapInArrow(trimmed(run), FIRST)
 
 
 def marked(first: DataFrame, n: int, hot: int) -> np.ndarray:
@@ -218,7 +218,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "toks"])
 
-    found = docs.select("text", F.pmod(row_key, F.lit(BITS)).alias("at")).mapInArrow(run, "cls long, toks binary")
+    found = docs.select("text", F.pmod(row_key, F.lit(BITS)).alias("at")).mapInArrow(trimmed(run), "cls long, toks binary")
     return stored(found.join(needed.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
@@ -273,7 +273,7 @@ def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataF
     right = right.select("grp", part(F.col("b"), F.col("s")).alias("part"), F.col("q").alias("cls")).join(sets.select(*[F.col(c).alias(c) for c in sets.columns]), "cls")
     task = F.pmod(F.xxhash64("grp", "part"), F.lit(tasks)).alias("task")
     cols = [task, "grp", "part", "cls", "toks"]
-    return left.select(*cols).groupBy("task").cogroup(right.select(*cols).groupBy("task")).applyInPandas(opened, "u long, v long, strong boolean")
+    return left.select(*cols).groupBy("task").cogroup(right.select(*cols).groupBy("task")).applyInPandas(trimmed_pair(opened), "u long, v long, strong boolean")
 
 
 # --- the matrix
@@ -329,7 +329,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, grouped: np.ndarray, n: int) -> D
                 toks, clss, ns, size, later = [], [], [], 0, []
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(trimmed(run), schema)
 
 
 def regrouped(own: DataFrame, n: int) -> DataFrame:
@@ -342,7 +342,7 @@ def regrouped(own: DataFrame, n: int) -> DataFrame:
                 k = np.array([len(x) for x in t])
                 yield entries(np.concatenate(t), np.repeat(b.column("grp").to_numpy(), k), np.repeat(b.column("cls").to_numpy(), k), np.repeat(b.column("n").to_numpy().astype(np.int32), k), n)
 
-    return own.mapInArrow(run, ENTRY)
+    return own.mapInArrow(trimmed(run), ENTRY)
 
 
 def meetings(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -407,6 +407,7 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     cost: whatever it is, every link is found.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     n = slices_for(n_partitions(spark))
     first = stored(first_pass(docs, n), "first")
@@ -429,7 +430,7 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     made = stored(prefixes(docs, hot_bits, bitmap(groups.select("cls")), n), "matrix")
     own = made.where("slice IS NULL").select("cls", "n", "own").dropDuplicates(["cls"]).join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     matrix = made.where("slice IS NOT NULL").select("slice", "toks", "grps", "clss", "ns").union(regrouped(own, n))
-    met = matrix.groupBy("slice").applyInPandas(meetings, "q long, grp long, hits long, need long")
+    met = matrix.groupBy("slice").applyInPandas(trimmed_group(meetings), "q long, grp long, hits long, need long")
     met = stored(met.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("q", "grp"), "meetings")
     # within a group, whoever isn't in its largest part by links asks all of it
     parts = groups.join(grouped(links).withColumnRenamed("grp", "part"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, small_batches, trimmed
 from .tokens import BYTE_BPE, encode_whole, ids_in_batch, load, tokenizer_path
 
 END = 1
@@ -29,17 +30,18 @@ def encoder(name: str):
     For the byte-level vocabulary that comes in both forms, plain texts take tiktoken, three
     times as fast; all others take the tokenizers library, huge ones in chunks.
     """
-    tok = load(tokenizer_path(name))
+    tok = lambda: load(tokenizer_path(name))  # noqa: E731  loaded when first needed
     if name != BYTE_BPE:
-        return lambda text: encode_whole(tok, text)
+        return lambda text: encode_whole(tok(), text)
     import public_tokenizers
     import tiktoken
 
     with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+    with open(tokenizer_path(name), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encode_whole(tok, text) if _ODD.search(text) else fast.encode(text, allowed_special="all")
+    return lambda text: encode_whole(tok(), text) if _ODD.search(text) else fast.encode(text, allowed_special="all")
 
 
 class Bins:
@@ -101,6 +103,8 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, tokenizer: str = BY
     their own; null ids stay null; other columns are ignored; an empty table gives no rows.
     """
 
+    small_batches(docs.sparkSession)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, bins, rows = encoder(tokenizer), Bins(capacity, TaskContext.get().partitionId()), []
 
@@ -119,4 +123,4 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, tokenizer: str = BY
         if rows := rows + bins.rest():
             yield batch(rows)
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(pack, PIECES)
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(trimmed(pack), PIECES)

@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, rows_of
+from .common import pick, rows_of, small_batches, trimmed
 
 #: Texts beyond CHUNK characters are encoded in chunks; neighbours overlap by OVERLAP characters at first.
 CHUNK, OVERLAP = 32_768, 512
@@ -112,6 +112,8 @@ def count_tokens(docs: DataFrame, *, tokenizer: str = BYTE_BPE, limit: int = 102
     """
     name = tokenizer
 
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer_path(name))
         for b in batches:
@@ -128,7 +130,7 @@ def count_tokens(docs: DataFrame, *, tokenizer: str = BYTE_BPE, limit: int = 102
                 sizes = [len(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(trimmed(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def ids_in_batch(docs: Iterator[pa.RecordBatch], encode) -> Iterator[tuple]:
