@@ -208,7 +208,12 @@ def named(uri: str) -> str | None:
 def archive_records(data: bytes, most: int = 1 << 30) -> Iterator[dict]:
     """The records of an archive, one in memory at a time; a bad one comes as {"offset", "error"}, and the next frame follows."""
     view, at, dictionary = memoryview(data).cast("B"), 0, None
-    if len(data) and (lead := skippable(view, 0)):
+    try:
+        lead = skippable(view, 0) if len(data) else None
+    except BadRecord as e:
+        yield {"offset": 0, "error": str(e)}
+        return
+    if lead:
         if lead[0] == DICT_MAGIC and len(lead[1]):
             content = bytes(lead[1])
             if content[:4] == struct.pack("<I", FRAME_MAGIC):
