@@ -45,6 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more: disk is shared by all stages of a job."""
+    spark = df.sparkSession
+    if files := df.inputFiles():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, as new name = old name; other columns of docs can't clash then."""
     return docs.select([F.col(f"`{old}`").alias(new) for new, old in columns.items()])

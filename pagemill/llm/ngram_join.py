@@ -3,8 +3,8 @@
 1. One pass over the texts: a set for each document, documents with equal sets are one class
    (the set's hash), and shingles found in many documents are marked in a bitmap of fixed size.
 2. Similar classes are put into groups: classes that share a minimum hash are compared with the
-   one of them that has most copies, and those with half of their shingles in common make a
-   group, linked or not.
+   one of them that has most copies, and those with a third of their shingles in common make
+   a group, linked or not.
 3. The matrix: for each shingle of a prefix, the groups whose union has it. A link needs a
    certain number of shared prefix shingles under any one order of shingles; the order puts
    marked ones last, so passages that many documents share open nothing. Classes meet other
@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, pick, rows_of, small_batches, stored, trimmed, trimmed_group, trimmed_pair
+from .common import discard, n_partitions, pick, rows_of, small_batches, stored, trimmed, trimmed_group
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
 #: Similar enough, in percent, for one group.
-SIMILAR = 50
+SIMILAR = 30
 #: Shingles in more documents than HOT are marked. Counted are those below the LOW quantile of hashes, and all of documents with fewer than SHORT.
-HOT, LOW, SHORT = 16, 0.45, 64
+HOT, LOW, SHORT = 16, 0.4, 256
 #: A prefix has n // SPARE shingles more than one shared shingle would need.
 SPARE = 20
 #: What a task holds of shingles before it passes them on, and of pairs while it counts them.
@@ -85,9 +85,15 @@ def slices_for(partitions: int) -> int:
     return 1 << max(6, math.ceil(math.log2(max(partitions, 2) / 2)))
 
 
-def sliced(tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the tokens by slice (their low bits), and where each slice starts."""
+def sliced(tokens: np.ndarray, n: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the tokens by slice (their low bits), and where each slice starts.
+
+    With a bitmap of marks, marked tokens are dealt by ranges of hashes: sets that share many
+    of them share neighbours in the order, and then meet in few slices rather than in many.
+    """
     at = (tokens & np.uint64(n - 1)).astype(np.int64)
+    if hot is not None:
+        at = np.where(bit(hot, mark(tokens, n)), (tokens >> np.uint64(59)).astype(np.int64) * (n // 32), at)
     order = np.argsort(at, kind="stable")
     return order, np.searchsorted(at[order], np.arange(n + 1))
 
@@ -204,7 +210,10 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """cls, toks (sorted hashes) of the needed classes, from the text of each one's first document."""
+    """cls, toks (sorted hashes) of the needed classes, from the text of each one's first document.
+
+    A few others come along (false hits of the bitmap), and repeated rows come repeatedly.
+    """
     row_key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
     who = classes.join(needed.select("cls").distinct(), "cls", "left_semi")
     want = bitmap(who.select(F.xxhash64(F.coalesce("rep", F.lit(-1))).alias("key")))
@@ -218,12 +227,13 @@ def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "toks"])
 
-    found = docs.select("text", F.pmod(row_key, F.lit(BITS)).alias("at")).mapInArrow(trimmed(run), "cls long, toks binary")
-    return stored(found.join(needed.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    return docs.select("text", F.pmod(row_key, F.lit(BITS)).alias("at")).mapInArrow(trimmed(run), "cls long, toks binary")
 
 
-def opened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Members (grp, part, cls, toks) and queries (grp, part, cls, toks): each query's most similar member of each part of a group, if it is similar at all; strong: they link."""
+def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Rows grp, part, asks, cls, toks: members, and queries (asks). Each query's most similar member of each part of a group, if they have `least` percent in common; strong: they link."""
+    rows = rows.drop_duplicates(["grp", "part", "asks", "cls"])
+    left, right = rows[~rows["asks"]], rows[rows["asks"]]
     out = []
     members = {k: v for k, v in left.groupby(["grp", "part"], sort=False)}
     for key, queries in right.groupby(["grp", "part"], sort=False):
@@ -238,20 +248,20 @@ def opened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             q = np.frombuffer(toks, np.uint64)
             lo, hi = np.searchsorted(every, q, "left"), np.searchsorted(every, q, "right")
             n = hi - lo
-            if 100 * int((n > 0).sum()) < SIMILAR * len(q):  # the bound by the group's union
+            if 100 * int((n > 0).sum()) < least * len(q):  # the bound by the group's union
                 continue
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
             common = np.bincount(owner[at], minlength=len(sets))
             common[ids == cls] = 0
             best = int((common / (len(q) + sizes - common)).argmax())
             c, union = int(common[best]), int(len(q) + sizes[best] - common[best])
-            if 100 * c >= SIMILAR * union:
+            if 100 * c >= least * union:
                 out.append((cls, ids[best], 100 * c >= PERCENT * union))
     u, v, strong = zip(*out, strict=True) if out else ((), (), ())
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "strong": np.array(strong, bool)})
 
 
-def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataFrame) -> DataFrame:
+def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """met(q, grp), members(grp, cls) -> u, v, strong: for each query and block of a group the most similar member, so a link wherever there is any.
 
     Groups are cut into blocks of members and queries into shares, so that no task holds an
@@ -263,17 +273,18 @@ def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataF
     sized = held.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.first("queries") / (8 * BLOCK)).cast("int").alias("shares"))
     inside = stored(held.select("grp", "cls").join(sized, "grp"), "members")
     asked = met.join(sized, "grp")
-    sets = sets_of(docs, classes, inside.select("cls").union(met.select(F.col("q").alias("cls"))))
-    total = sets.agg(F.coalesce(F.avg(F.octet_length("toks")), F.lit(0.0))).first()[0] * (inside.count() + met.count())
-    tasks = max(2 * n_partitions(docs.sparkSession), math.ceil(total / TASK_BYTES))
-    part = lambda b, s: F.concat_ws("-", b.cast("string"), s.cast("string"))
+    sets = stored(sets_of(docs, classes, inside.select("cls").union(met.select(F.col("q").alias("cls")))), "sets")
+    mean = sets.agg(F.coalesce(F.avg(F.octet_length("toks")), F.lit(0.0))).first()[0]
+    tasks = max(2 * n_partitions(docs.sparkSession), math.ceil(mean * (inside.count() + met.count()) / TASK_BYTES))
     left = inside.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     right = asked.withColumn("s", F.pmod(F.xxhash64("q"), F.col("shares"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("grp", part(F.col("b"), F.col("s")).alias("part"), "cls").join(sets, "cls")
-    right = right.select("grp", part(F.col("b"), F.col("s")).alias("part"), F.col("q").alias("cls")).join(sets.select(*[F.col(c).alias(c) for c in sets.columns]), "cls")
+    part = F.concat_ws("-", F.col("b").cast("string"), F.col("s").cast("string")).alias("part")
+    both = left.select("grp", part, F.lit(False).alias("asks"), "cls").union(right.select("grp", part, F.lit(True).alias("asks"), F.col("q").alias("cls")))
     task = F.pmod(F.xxhash64("grp", "part"), F.lit(tasks)).alias("task")
-    cols = [task, "grp", "part", "cls", "toks"]
-    return left.select(*cols).groupBy("task").cogroup(right.select(*cols).groupBy("task")).applyInPandas(trimmed_pair(opened), "u long, v long, strong boolean")
+    rows = both.select(task, "grp", "part", "asks", "cls").join(sets, "cls")
+    found = stored(rows.groupBy("task").applyInPandas(trimmed_group(lambda r: opened(r, least)), "u long, v long, strong boolean"), "found")
+    discard(sets)
+    return found
 
 
 # --- the matrix
@@ -281,9 +292,9 @@ def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataF
 ENTRY = "slice int, toks binary, grps binary, clss binary, ns binary"
 
 
-def entries(tokens: np.ndarray, grps: np.ndarray, clss: np.ndarray, ns: np.ndarray, n: int) -> pa.RecordBatch:
+def entries(tokens: np.ndarray, grps: np.ndarray, clss: np.ndarray, ns: np.ndarray, n: int, hot: np.ndarray) -> pa.RecordBatch:
     """Matrix entries by slice, a row for each."""
-    order, at = sliced(tokens, n)
+    order, at = sliced(tokens, n, hot)
     part = [i for i in range(n) if at[i] < at[i + 1]]
     tokens, grps, clss, ns = (x[order] for x in (tokens, grps, clss, ns))
     cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in part], pa.binary())
@@ -302,7 +313,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, grouped: np.ndarray, n: int) -> D
             if toks:
                 k = np.array([len(t) for t in toks])
                 c = np.repeat(np.array(clss, np.int64), k)
-                b = entries(np.concatenate(toks), c, c, np.repeat(np.array(ns, np.int32), k), n)
+                b = entries(np.concatenate(toks), c, c, np.repeat(np.array(ns, np.int32), k), n, hot)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.binary())], [*b.schema.names, "cls", "n", "own"])
             if later:
                 k = len(later)
@@ -332,7 +343,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, grouped: np.ndarray, n: int) -> D
     return docs.select("text").mapInArrow(trimmed(run), schema)
 
 
-def regrouped(own: DataFrame, n: int) -> DataFrame:
+def regrouped(own: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     """cls, n, own, grp -> matrix entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +351,7 @@ def regrouped(own: DataFrame, n: int) -> DataFrame:
             t = [np.frombuffer(x, np.uint64) for x in b.column("own").to_pylist()]
             if t:
                 k = np.array([len(x) for x in t])
-                yield entries(np.concatenate(t), np.repeat(b.column("grp").to_numpy(), k), np.repeat(b.column("cls").to_numpy(), k), np.repeat(b.column("n").to_numpy().astype(np.int32), k), n)
+                yield entries(np.concatenate(t), np.repeat(b.column("grp").to_numpy(), k), np.repeat(b.column("cls").to_numpy(), k), np.repeat(b.column("n").to_numpy().astype(np.int32), k), n, hot)
 
     return own.mapInArrow(trimmed(run), ENTRY)
 
@@ -412,7 +423,8 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     n = slices_for(n_partitions(spark))
     first = stored(first_pass(docs, n), "first")
     hot_bits = marked(first, n, hot)
-    rows = first.where("slice IS NULL").select("doc_id", "n", "cls", *[f"m{i}" for i in range(MINIMA)])
+    rows = stored(first.where("slice IS NULL").select("doc_id", "n", "cls", *[f"m{i}" for i in range(MINIMA)]), "rows")
+    discard(first)
     classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)]), "classes")
 
     # groups: each class against the class with most copies in its buckets, most likely what others were made from
@@ -422,22 +434,23 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     near = buckets.join(leaders, ["i", "m"]).where("cls <> lead").select("cls", "n", "lead").distinct().join(sizes, "lead")
     near = stored(near.where(f"100 * least(n, ln) >= {SIMILAR} * greatest(n, ln)").select("cls", "lead"), "near")
     ones = near.select(F.col("lead").alias("grp")).distinct().withColumn("cls", F.col("grp"))
-    near = stored(compared(docs, classes, near.select(F.col("cls").alias("q"), F.col("lead").alias("grp")), ones), "near")
+    near = compared(docs, classes, near.select(F.col("cls").alias("q"), F.col("lead").alias("grp")), ones, SIMILAR)
     links = near.where("strong").select("u", "v")
     groups = grouped(near)
 
     # the matrix: classes that meet other groups
     made = stored(prefixes(docs, hot_bits, bitmap(groups.select("cls")), n), "matrix")
     own = made.where("slice IS NULL").select("cls", "n", "own").dropDuplicates(["cls"]).join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
-    matrix = made.where("slice IS NOT NULL").select("slice", "toks", "grps", "clss", "ns").union(regrouped(own, n))
+    matrix = made.where("slice IS NOT NULL").select("slice", "toks", "grps", "clss", "ns").union(regrouped(own, n, hot_bits))
     met = matrix.groupBy("slice").applyInPandas(trimmed_group(meetings), "q long, grp long, hits long, need long")
     met = stored(met.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("q", "grp"), "meetings")
+    discard(made)
     # within a group, whoever isn't in its largest part by links asks all of it
     parts = groups.join(grouped(links).withColumnRenamed("grp", "part"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     main = parts.groupBy("grp", "part").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max(F.struct("k", "part")).getField("part").alias("main"))
     inner = parts.join(main, "grp").where("part <> main").select(F.col("cls").alias("q"), "grp")
     alone = met.select("grp").distinct().join(groups.select("grp").distinct(), "grp", "left_anti").select("grp", F.col("grp").alias("cls"))
-    more = compared(docs, classes, met.union(inner), groups.select("grp", "cls").union(alone)).where("strong").select("u", "v")
+    more = compared(docs, classes, met.union(inner), groups.select("grp", "cls").union(alone), PERCENT).where("strong").select("u", "v")
 
     found = components(links.union(more))
     rooted = classes.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
