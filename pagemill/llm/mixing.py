@@ -11,6 +11,8 @@ from .common import WORD, pick, stored
 
 #: The keys of a source are dealt to this many ranges; only the one that holds the budget's end is sorted.
 RANGES = 4096
+#: So many sources' thresholds are broadcast; with more, a source's documents are spread over SALTS keys.
+BROADCAST_SOURCES, SALTS = 20_000, 64
 
 
 def doc_quality(size: Column, chars: Column) -> Column:
@@ -75,6 +77,20 @@ def thresholds(keyed: DataFrame, weights: Sequence[int], share: float, most: flo
     return goal.join(edge, F.col("source").eqNullSafe(F.col("x")), "left").select(F.col("source").alias("t"), "source_size", "target", "epochs", F.coalesce("edge", F.lit(-1.0)).alias("edge"), "left", "ties")
 
 
+def with_thresholds(docs: DataFrame, t: DataFrame) -> DataFrame:
+    """docs(source, doc_id, ...) with its source's thresholds, without dealing documents by source.
+
+    One row a source is broadcast where their number, which is counted first, allows it.
+    Beyond, documents of a source are spread over SALTS keys.
+    """
+    t = stored(t, "thresholds")
+    if t.count() <= BROADCAST_SOURCES:
+        return docs.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("t")), "left")
+    t = t.withColumn("salt_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)))
+    return salted.join(t, F.col("source").eqNullSafe(F.col("t")) & (F.col("salt") == F.col("salt_t")), "left")
+
+
 def taken_words() -> Column:
     """Complete epochs, then documents before the edge whole; what is left at the edge goes to its document, or to equal ones alike."""
     part = F.when(F.col("key") < F.col("edge"), F.col("size")).when(F.col("key") == F.col("edge"), F.least(F.col("size"), F.floor(F.col("left") / F.col("ties")))).otherwise(F.lit(0))
@@ -91,7 +107,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: f
     """
     keyed = stored(with_size_and_key(pick(docs, doc_id="doc_id", text="text", source="source"), seed).drop("text"), "mix")
     t = thresholds(keyed, weights, share, most)
-    return keyed.join(t, F.col("source").eqNullSafe(F.col("t")), "left").select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+    return with_thresholds(keyed, t).select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
@@ -104,7 +120,7 @@ def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), shar
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.col("source").alias("source"))
     inner = with_size_and_key(inner, seed)
     t = thresholds(stored(inner.select("source", "size", "key"), "mix"), weights, share, most)
-    out = inner.join(t, F.col("source").eqNullSafe(F.col("t")), "left").withColumn("taken", taken_words())
+    out = with_thresholds(inner, t).withColumn("taken", taken_words())
     whole, part = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"), (F.col("taken") % F.greatest("size", F.lit(1))).cast("int")
     copies = out.where("taken > 0").select("row", "text", F.explode(F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))).alias("words"))
     cut = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.coalesce("words", F.lit(0))), ""))

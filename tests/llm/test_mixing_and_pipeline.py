@@ -85,6 +85,13 @@ def test_mixed_documents_hold_the_taken_words(frame):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_many_sources_are_salted_instead_of_broadcast(frame, monkeypatch):
+    plain = lambda: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in mixing.mix_sources(frame(ROWS)).collect())
+    want = plain()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert plain() == want
+
+
 def test_no_python_in_the_plan(frame):
     df = mixing.mix_sources(frame(ROWS))
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
