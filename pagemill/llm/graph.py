@@ -2,38 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import rows_of, stored
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars: each node but the least of its part here, with that least one."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for u, v in rows_of(batches, "u", "v"):
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    pairs = [(find(x), x) for x in list(root)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    for i in range(0, len(pairs), 100_000):
+        part = pairs[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["u", "v"])
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """Edges dealt by their larger node, so that all smaller neighbours of a node meet, and made stars there."""
+    return stored(edges.repartition("v").mapInArrow(contracted, "u long, v long"), "edges")
 
 
-def _minima(edges: DataFrame) -> DataFrame:
-    """u, v (both directions) with m: the least of u and its neighbours."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u")
+def _settled(e: DataFrame) -> bool:
+    """Whether all is stars: each node has one centre, and no centre has one."""
+    n = e.agg(F.count("*").alias("n"), F.countDistinct("v").alias("nodes")).first()
+    return n["n"] == n["nodes"] and not e.select("u").join(e.select(F.col("v").alias("w")), F.col("u") == F.col("w"), "left_semi").limit(1).count()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(u long, v long) -> node, component: the least node reachable. Nodes without edges aren't listed.
 
-    Alternating large-star and small-star rounds: each links neighbours to a node's least
-    neighbour, and the number of rounds grows with the logarithm of the largest component.
-    A round is an aggregate with partial sums and a join, and is written to the shared folder.
+    Rounds link the larger neighbours of every node to its least neighbour (an aggregate with
+    partial sums and a join) and then contract the edges of each partition; each is written to
+    the shared folder. Their number grows with the logarithm of the largest component at most.
     """
-    e = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    e = _contract(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     for _ in range(most_rounds):
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
-        large = _minima(e).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))).alias("e")).select("e.*")
-        e = stored(small.where("u <> v").distinct(), "edges")
-    else:
-        raise RuntimeError("components didn't settle")
-    stars = e.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
-    return stars.union(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+        if _settled(e):
+            stars = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
+            return stars.union(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        e = _contract(both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v"))
+    raise RuntimeError("components didn't settle")
