@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,12 +88,21 @@ def _trimmer() -> Callable[[int], int] | None:
         return None
 
 
-def trim() -> None:
-    """Gives freed memory back to the system: workers are reused, and what one task needed would stay with them."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if f := _trimmer():
-        f(0)
+def _resident() -> int:
+    """Bytes of memory this process holds; beyond all bounds where that can't be told."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+    except OSError:
+        return 1 << 62
+
+
+def trim(beyond: int = 200 << 20) -> None:
+    """Gives freed memory back to the system where a worker holds much: workers are reused, and what one task needed would stay with them."""
+    if _resident() > beyond:
+        pa.default_memory_pool().release_unused()
+        if f := _trimmer():
+            f(0)
 
 
 def trimmed(f: Callable) -> Callable:
