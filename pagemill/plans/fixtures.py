@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lex import build_tree, lexed
+from ..functions.text import preprocess
+from ..operators.lex import build_tree, lexed, parse_errors
 from ..operators.relational import ordered_text
 from ..operators.sanitize import sanitize
 
@@ -169,6 +170,55 @@ SANITIZED = {
     "decoded scheme": ('<a href=" &#106;avascript:x">y</a>', "<a>y</a>"),
 }
 
+NEWLINES = {
+    "crlf": ("a\r\nb", "a\nb"),
+    "cr": ("a\rb", "a\nb"),
+    "three crlf": ("a\r\n\r\n\r\nb", "a\n\n\nb"),
+    "mixed": ("x\ry\r\nz\n", "x\ny\nz\n"),
+    "lf only": ("plain\ntext", "plain\ntext"),
+}
+#: error code -> a document that has it.
+ERRORS = {
+    "null-character-reference": "&#0;",
+    "character-reference-outside-unicode-range": "&#1114112;",
+    "surrogate-character-reference": "&#55296;",
+    "control-character-reference": "&#128;",
+    "absence-of-digits-in-numeric-character-reference": "&#;",
+    "missing-semicolon-after-character-reference": "&amp b",
+    "abrupt-closing-of-empty-comment": "<!-->",
+    "abrupt-doctype-public-identifier": '<!DOCTYPE html PUBLIC "x>',
+    "abrupt-doctype-system-identifier": '<!DOCTYPE html SYSTEM "x>',
+    "duplicate-attribute": '<a b="1" b="2">',
+    "eof-before-tag-name": "</",
+    "eof-in-cdata": "<![CDATA[x",
+    "eof-in-comment": "<!--x",
+    "eof-in-doctype": "<!DOCTYPE html",
+    "eof-in-script-html-comment-like-text": "<script><!--x",
+    "eof-in-tag": "<di",
+    "incorrectly-closed-comment": "<!--x--!>",
+    "incorrectly-opened-comment": "<!x>",
+    "invalid-character-sequence-after-doctype-name": "<!DOCTYPE html FOO>",
+    "invalid-first-character-of-tag-name": "<1",
+    "missing-attribute-value": "<a b=>",
+    "missing-doctype-name": "<!DOCTYPE >",
+    "missing-doctype-public-identifier": "<!DOCTYPE html PUBLIC>",
+    "missing-doctype-system-identifier": "<!DOCTYPE html SYSTEM>",
+    "missing-end-tag-name": "</>",
+    "missing-quote-before-doctype-public-identifier": "<!DOCTYPE html PUBLIC x>",
+    "missing-quote-before-doctype-system-identifier": "<!DOCTYPE html SYSTEM x>",
+    "missing-whitespace-after-doctype-public-keyword": '<!DOCTYPE html PUBLIC"x">',
+    "missing-whitespace-after-doctype-system-keyword": '<!DOCTYPE html SYSTEM"x">',
+    "missing-whitespace-before-doctype-name": "<!DOCTYPEhtml>",
+    "missing-whitespace-between-attributes": '<a b="1"c="2">',
+    "missing-whitespace-between-doctype-public-and-system-identifiers": '<!DOCTYPE html PUBLIC "x""y">',
+    "unexpected-character-after-doctype-system-identifier": '<!DOCTYPE html SYSTEM "x" y>',
+    "unexpected-character-in-attribute-name": "<a b'c>",
+    "unexpected-equals-sign-before-attribute-name": "<a =x>",
+    "unexpected-null-character": f"a{NUL}",
+    "unexpected-question-mark-instead-of-tag-name": "<?x>",
+    "unexpected-solidus-in-tag": "<a / b>",
+}
+
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
@@ -226,8 +276,21 @@ def _sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize(docs).select(F.col("doc_id").alias("case_id"), F.col("html").alias("result"))
 
 
+def _newline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _frame(spark, [(k, h) for k, (h, _) in NEWLINES.items()], "case_id string, html string")
+    return docs.select("case_id", preprocess(F.col("html")).alias("result"))
+
+
+def _error_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's errors, driven by a tree builder, that are the ones it stands for."""
+    found = parse_errors(_frame(spark, list(ERRORS.items()), "doc_id string, html string"), driven=True)
+    return found.where("code = doc_id").select(F.col("doc_id").alias("case_id"), F.col("code").alias("result")).distinct()
+
+
 QUERIES = {"fixture_text": _lines(TEXT), "fixture_tags": _lines(TAGS), "fixture_declarations": _lines(DECLARATIONS)}
 QUERIES |= {
+    "fixture_newlines": (_newline_query, _values({k: e for k, (_, e) in NEWLINES.items()})),
+    "fixture_errors": (_error_query, _values({k: k for k in ERRORS})),
     "fixture_forced_states": (_forced_query, _values({k: e for k, (*_, e) in FORCED.items()})),
     "fixture_trees": (_tree_query, _values({k: e for k, (*_, e) in TREES.items()})),
     "fixture_sanitized": (_sanitize_query, _values({k: e for k, (_, e) in SANITIZED.items()})),
