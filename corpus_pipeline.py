@@ -42,13 +42,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the document with the smallest id; those without words are no group.
 
-    Only the ids that go are joined. Rows that repeat an id are looked for among the ids
+    Only rows that a bitmap of the ids that go may hold are joined with those ids, so the texts
+    that stay aren't dealt out. Rows that repeat an id are looked for among the ids
     alone, and only where there are any are they dealt out to keep one of each. Rows without
     an id can't be told apart and stay.
     """
     groups = stored(ngram_join.jaccard_join(docs).select("doc_id", "n_shingles", "component_id"), "groups")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    maybe = ngram_join.in_bitmap(ngram_join.bitmap(gone.select(F.xxhash64("gone").alias("key"))), F.xxhash64(docs["doc_id"]))
+    kept = docs.where(~maybe).union(docs.where(maybe).join(gone, docs["doc_id"] == gone["gone"], "left_anti"))
     if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
     return kept

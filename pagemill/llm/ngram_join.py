@@ -206,6 +206,16 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def in_bitmap(bits: np.ndarray, key: Column) -> Column:
+    """Whether a long key may be among those of a bitmap; only the key travels to Python."""
+
+    @F.arrow_udf(returnType="boolean")
+    def hit(at: pa.Array) -> pa.Array:
+        return pa.array(bit(bits, at.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    return hit(F.pmod(key, F.lit(BITS)))
+
+
 # --- comparing classes with groups
 
 
