@@ -69,3 +69,8 @@ def test_repeated_rows_nulls_and_empty_tables(frame):
     got = sorted((r["doc_id"] or -1, r["n_base"], r["labels"]) for r in licenses.scan_licenses(docs).collect())
     assert got == [(-1, 0, ""), (-1, 1, "mit"), (1, 1, "mit"), (1, 1, "mit")]
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_no_python_in_the_plan(frame):
+    plan = licenses.scan_licenses(frame([(1, "MIT license")]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
