@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,36 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import pick, small_batches, trimmed
-from .tokens import BYTE_BPE, encode_whole, ids_in_batch, load, tokenizer_path
+from .tokens import BYTE_BPE, encoder, ids_in_batch
 
 END = 1
-#: tiktoken is used for texts below this code point and without longer runs than PLAIN_RUN; tests hold both libraries against each other there.
-PLAIN_TO, PLAIN_RUN = 0x250, 2000
-_ODD = re.compile(rf"[^\x00-{chr(PLAIN_TO - 1)}]|\S{{{PLAIN_RUN}}}|\s{{{PLAIN_RUN}}}")
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(name: str):
-    """text -> ids of the tokenizer file `name`.
-
-    For the byte-level vocabulary that comes in both forms, plain texts take tiktoken, three
-    times as fast; all others take the tokenizers library, huge ones in chunks.
-    """
-    tok = lambda: load(tokenizer_path(name))  # noqa: E731  loaded when first needed
-    if name != BYTE_BPE:
-        return lambda text: encode_whole(tok(), text)
-    import public_tokenizers
-    import tiktoken
-
-    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    with open(tokenizer_path(name), encoding="utf-8") as f:
-        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encode_whole(tok(), text) if _ODD.search(text) else fast.encode(text, allowed_special="all")
-
-
 class Bins:
     """The bins of one worker: class k holds pieces of exactly capacity / 2**k ids, 2**k to a bin.
 

@@ -52,8 +52,8 @@ def test_counting_edges(frame):
 
 
 def test_both_libraries_agree_on_plain_characters():
-    encode = packing.encoder(tokens.BYTE_BPE)
-    for c in map(chr, range(packing.PLAIN_TO)):
+    encode = tokens.encoder(tokens.BYTE_BPE)
+    for c in map(chr, range(tokens.PLAIN_TO)):
         for text in (c, f"a{c}b", f" {c} {c}{c}", f"1{c}2", f"'{c}s", f"\n{c}\n", f"{c}'re", f"x{c} ", f".{c}!", f"  {c}  "):
             assert encode(text) == ids(text), (hex(ord(c)), text)
 
@@ -61,7 +61,7 @@ def test_both_libraries_agree_on_plain_characters():
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60))
 def test_both_libraries_agree_on_plain_texts(text):
-    assert packing.encoder(tokens.BYTE_BPE)(text) == ids(text)
+    assert tokens.encoder(tokens.BYTE_BPE)(text) == ids(text)
 
 
 def check_packing(rows, texts, capacity=2048):
@@ -112,3 +112,16 @@ def test_packing_edges(frame, capacity):
 def test_capacity_must_be_a_power_of_two():
     with pytest.raises(ValueError, match="power of two"):
         packing.Bins(1000, 0)
+
+
+def test_other_vocabularies(frame):
+    import sentencepiece
+
+    texts = ["Hello world <|endoftext|>", "é 字", "", "word " * 9000]
+    docs = frame(list(enumerate(texts)))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, tokenizer="piece_bpe_32k.model").collect()}
+    assert got == {i: len(pieces.encode(t)) for i, t in enumerate(texts)}
+    words = tokens.load(tokens.tokenizer_path("word_bpe_49k.json"))
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, tokenizer="word_bpe_49k.json").collect()}
+    assert got == {i: len(words.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
