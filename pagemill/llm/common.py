@@ -97,7 +97,7 @@ def _resident() -> int:
         return 1 << 62
 
 
-def trim(beyond: int = 200 << 20) -> None:
+def trim(beyond: int = 140 << 20) -> None:
     """Gives freed memory back to the system where a worker holds much: workers are reused, and what one task needed would stay with them."""
     if _resident() > beyond:
         pa.default_memory_pool().release_unused()
