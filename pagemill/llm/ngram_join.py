@@ -240,7 +240,11 @@ def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame
 
 
 def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Rows grp, part, asks, cls, toks: members, and queries (asks). Each query's most similar member of each part of a group, if they have `least` percent in common; strong: they link."""
+    """Rows grp, part, asks, cls, toks: members, and queries (asks); a part is a block of a group's members with a share of its queries.
+
+    Links of each query with members that have `least` percent in common with it: one for each set
+    of members that the part's earlier queries haven't connected yet; strong: they have PERCENT.
+    """
     rows = rows.drop_duplicates(["grp", "part", "asks", "cls"])
     left, right = rows[~rows["asks"]], rows[rows["asks"]]
     out = []
@@ -253,6 +257,7 @@ def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        root = np.arange(len(sets))
         for cls, toks in zip(queries["cls"], queries["toks"], strict=True):
             q = np.frombuffer(toks, np.uint64)
             lo, hi = np.searchsorted(every, q, "left"), np.searchsorted(every, q, "right")
@@ -262,16 +267,18 @@ def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
             common = np.bincount(owner[at], minlength=len(sets))
             common[ids == cls] = 0
-            best = int((common / (len(q) + sizes - common)).argmax())
-            c, union = int(common[best]), int(len(q) + sizes[best] - common[best])
-            if 100 * c >= least * union:
-                out.append((cls, ids[best], 100 * c >= PERCENT * union))
+            union = len(q) + sizes - common
+            linked = np.flatnonzero((100 * common >= least * union) & (ids != cls))
+            roots, first = np.unique(root[linked], return_index=True)
+            if len(roots) > 1:
+                root[np.isin(root, roots)] = roots[0]
+            out += [(cls, ids[k], 100 * int(common[k]) >= PERCENT * int(union[k])) for k in linked[first]]
     u, v, strong = zip(*out, strict=True) if out else ((), (), ())
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "strong": np.array(strong, bool)})
 
 
 def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """met(q, grp), members(grp, cls) -> u, v, strong: for each query and block of a group the most similar member, so a link wherever there is any.
+    """met(q, grp), members(grp, cls) -> u, v, strong: links that connect each query with all members it has `least` percent in common with.
 
     Groups are cut into blocks of members and queries into shares, so that no task holds an
     unbounded group; blocks go to tasks by hash, about TASK_BYTES of sets to one.

@@ -62,6 +62,39 @@ def test_families_around_the_threshold(frame, hot):
     assert result(J.jaccard_join(frame(docs), hot=hot)) == brute(docs)
 
 
+def edited(words, at):
+    """The text with the words at these places exchanged: five shingles each, if they lie apart."""
+    return [f"{w}-{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_links_between_two_parts_of_a_group(frame):
+    """A group around a2, where a1 and b1 link but neither b1 nor b2 is most similar to one of the a's."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(1004)]
+    places = list(range(10, 1000, 10))
+    rng.shuffle(places)
+    a1, a2 = base, edited(base, set(places[:5]))
+    b1, b2 = edited(base, set(places[5:25])), edited(base, set(places[5:30]))
+    docs = [(i, " ".join(w)) for i, w in enumerate([b2, b1, a1, a2, a2, a2])]
+    want = brute(docs)
+    assert {c for _, c in want.values()} == {0}
+    assert result(J.jaccard_join(frame(docs))) == want
+
+
+def test_chains_of_edits(frame):
+    """Each text is an edit of the one before, with side branches, so that groups hold several parts."""
+    rng = random.Random(12)
+    docs = []
+    for chain in range(8):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(304)]
+        for step in range(24):
+            w = edited(w, set(rng.sample(range(10, 300, 6), rng.randrange(4, 9))))
+            docs.append((1000 * chain + 2 * step, " ".join(w)))
+            docs.append((1000 * chain + 2 * step + 1, " ".join(edited(w, set(rng.sample(range(10, 300, 6), rng.randrange(1, 8)))))))
+    rng.shuffle(docs)
+    assert result(J.jaccard_join(frame(docs))) == brute(docs)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(frame, spark):
     docs = frame([(5, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"), (None, ""), (9, "One TWO three four five six")])
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in J.jaccard_join(docs).collect())
