@@ -9,8 +9,9 @@
    certain number of shared prefix shingles under any one order of shingles; the order puts
    marked ones last, so passages that many documents share open nothing. Classes meet other
    groups in it.
-4. For each class and each group it met, and its own if it isn't in the group's largest part: the overlap with the group's whole union bounds the
-   overlap with its members; only groups that reach the bound are opened, and members compared.
+4. For each class, its own group and each group it met: the overlap with the group's whole union
+   bounds the overlap with its members; only groups that reach the bound are opened, and members
+   compared. So every link is seen once from outside a group and from both ends inside one.
 
 Sets are 64-bit hashes of shingles; all sums and thresholds are integers.
 """
@@ -240,10 +241,12 @@ def sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame
 
 
 def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Rows grp, part, asks, cls, toks: members, and queries (asks); a part is a block of a group's members with a share of its queries.
+    """Rows grp, part, asks, own, copies, cls, toks: members, and queries (asks; own: of their own group); a part is a block of a group's members with a share of its queries.
 
     Links of each query with members that have `least` percent in common with it: one for each set
     of members that the part's earlier queries haven't connected yet; strong: they have PERCENT.
+    n adds up to the rows that a class (u) has such links with; a row of members of other groups
+    than the query's, which don't ask back, has u = v.
     """
     rows = rows.drop_duplicates(["grp", "part", "asks", "cls"])
     left, right = rows[~rows["asks"]], rows[rows["asks"]]
@@ -257,8 +260,8 @@ def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
-        root = np.arange(len(sets))
-        for cls, toks in zip(queries["cls"], queries["toks"], strict=True):
+        root, copies, asked = np.arange(len(sets)), own["copies"].to_numpy(), np.zeros(len(sets), np.int64)
+        for cls, toks, inside, times in zip(queries["cls"], queries["toks"], queries["own"], queries["copies"], strict=True):
             q = np.frombuffer(toks, np.uint64)
             lo, hi = np.searchsorted(every, q, "left"), np.searchsorted(every, q, "right")
             n = hi - lo
@@ -272,13 +275,19 @@ def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
             roots, first = np.unique(root[linked], return_index=True)
             if len(roots) > 1:
                 root[np.isin(root, roots)] = roots[0]
-            out += [(cls, ids[k], 100 * int(common[k]) >= PERCENT * int(union[k])) for k in linked[first]]
-    u, v, strong = zip(*out, strict=True) if out else ((), (), ())
-    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "strong": np.array(strong, bool)})
+            n = int(copies[linked].sum())
+            for k in linked[first]:
+                out.append((cls, ids[k], 100 * int(common[k]) >= PERCENT * int(union[k]), n))
+                n = 0
+            if not inside:
+                asked[linked] += times
+        out += [(ids[k], ids[k], True, asked[k]) for k in np.flatnonzero(asked)]
+    u, v, strong, n = zip(*out, strict=True) if out else ((), (), (), ())
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "strong": np.array(strong, bool), "n": np.array(n, np.int64)})
 
 
 def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """met(q, grp), members(grp, cls) -> u, v, strong: links that connect each query with all members it has `least` percent in common with.
+    """met(q, grp, own), members(grp, cls) -> u, v, strong, n: links that connect each query with all members it has `least` percent in common with, and their numbers.
 
     Groups are cut into blocks of members and queries into shares, so that no task holds an
     unbounded group; blocks go to tasks by hash, about TASK_BYTES of sets to one.
@@ -292,13 +301,14 @@ def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataF
     sets = stored(sets_of(docs, classes, inside.select("cls").union(met.select(F.col("q").alias("cls")))), "sets")
     mean = sets.agg(F.coalesce(F.avg(F.octet_length("toks")), F.lit(0.0))).first()[0]
     tasks = max(2 * n_partitions(docs.sparkSession), math.ceil(mean * (inside.count() + met.count()) / TASK_BYTES))
+    copies = classes.select("cls", "copies")
     left = inside.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     right = asked.withColumn("s", F.pmod(F.xxhash64("q"), F.col("shares"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.concat_ws("-", F.col("b").cast("string"), F.col("s").cast("string")).alias("part")
-    both = left.select("grp", part, F.lit(False).alias("asks"), "cls").union(right.select("grp", part, F.lit(True).alias("asks"), F.col("q").alias("cls")))
+    both = left.select("grp", part, F.lit(False).alias("asks"), F.lit(False).alias("own"), "cls").union(right.select("grp", part, F.lit(True).alias("asks"), "own", F.col("q").alias("cls")))
     task = F.pmod(F.xxhash64("grp", "part"), F.lit(tasks)).alias("task")
-    rows = both.select(task, "grp", "part", "asks", "cls").join(sets, "cls")
-    found = stored(rows.groupBy("task").applyInPandas(trimmed_group(lambda r: opened(r, least)), "u long, v long, strong boolean"), "found")
+    rows = both.join(copies, "cls").select(task, "grp", "part", "asks", "own", "copies", "cls").join(sets, "cls")
+    found = stored(rows.groupBy("task").applyInPandas(trimmed_group(lambda r: opened(r, least)), "u long, v long, strong boolean, n long"), "found")
     discard(sets)
     return found
 
@@ -425,7 +435,9 @@ def grouped(links: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; links are 100 * common >= 80 * union of 5-word shingle sets.
+    """doc_id, n_shingles, n_links, component_id of every document; links are 100 * common >= 80 * union of 5-word shingle sets.
+
+    n_links is the number of other rows that a document links with, copies included.
 
     Needs doc_id and text; other columns are ignored. A null text and one without words have no
     shingles and link with nothing: component_id is their own id. Equal sets (copies, repeated
@@ -450,8 +462,7 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     near = buckets.join(leaders, ["i", "m"]).where("cls <> lead").select("cls", "n", "lead").distinct().join(sizes, "lead")
     near = stored(near.where(f"100 * least(n, ln) >= {SIMILAR} * greatest(n, ln)").select("cls", "lead"), "near")
     ones = near.select(F.col("lead").alias("grp")).distinct().withColumn("cls", F.col("grp"))
-    near = compared(docs, classes, near.select(F.col("cls").alias("q"), F.col("lead").alias("grp")), ones, SIMILAR)
-    links = near.where("strong").select("u", "v")
+    near = compared(docs, classes, near.select(F.col("cls").alias("q"), F.col("lead").alias("grp"), F.lit(False).alias("own")), ones, SIMILAR)
     groups = grouped(near)
 
     # the matrix: classes that meet other groups
@@ -461,15 +472,15 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     met = matrix.groupBy("slice").applyInPandas(trimmed_group(meetings), "q long, grp long, hits long, need long")
     met = stored(met.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").select("q", "grp"), "meetings")
     discard(made)
-    # within a group, whoever isn't in its largest part by links asks all of it
-    parts = groups.join(grouped(links).withColumnRenamed("grp", "part"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    main = parts.groupBy("grp", "part").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max(F.struct("k", "part")).getField("part").alias("main"))
-    inner = parts.join(main, "grp").where("part <> main").select(F.col("cls").alias("q"), "grp")
+    # within a group each class asks all of it, whatever links are known: links are counted here
+    inner = groups.select(F.col("cls").alias("q"), "grp", F.lit(True).alias("own"))
     alone = met.select("grp").distinct().join(groups.select("grp").distinct(), "grp", "left_anti").select("grp", F.col("grp").alias("cls"))
-    more = compared(docs, classes, met.union(inner), groups.select("grp", "cls").union(alone), PERCENT).where("strong").select("u", "v")
+    more = compared(docs, classes, met.withColumn("own", F.lit(False)).union(inner), groups.select("grp", "cls").union(alone), PERCENT)
+    counts = more.groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n"))
 
-    found = components(links.union(more))
-    rooted = classes.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    found = components(more.where("u <> v").select("u", "v"))
+    rooted = classes.select("cls", "rep", "copies").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = rooted.join(least, "component").select("cls", "component_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = rooted.join(least, "component").join(counts, "cls", "left").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component)

@@ -95,6 +95,30 @@ def test_chains_of_edits(frame):
     assert result(J.jaccard_join(frame(docs))) == brute(docs)
 
 
+def linked_rows(docs):
+    """How many other rows each row links with, by comparing all pairs."""
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    return sorted((i, sum(1 for k, o in enumerate(sets) if k != j and s and 100 * len(s & o) >= 80 * len(s | o))) for j, ((i, _), s) in enumerate(zip(docs, sets, strict=True)))
+
+
+def test_number_of_links(frame, monkeypatch):
+    """Inside groups and between them, in one block or several, copies and repeated rows included."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = [(500, "a b"), (501, "A  b"), (502, ""), (503, None)]
+    for family in range(3):
+        base = [word() for _ in range(120)]
+        for i in range(40):
+            text = " ".join(edited(base, {rng.randrange(120) for _ in range(rng.randrange(0, 7))}))
+            docs += [(100 * family + i, text)] * rng.choice((1, 1, 1, 2))
+    monkeypatch.setattr(J, "BLOCK", 16)
+    got = J.jaccard_join(frame(docs)).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == linked_rows(docs)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(frame, spark):
     docs = frame([(5, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"), (None, ""), (9, "One TWO three four five six")])
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in J.jaccard_join(docs).collect())
