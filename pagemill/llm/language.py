@@ -16,10 +16,12 @@ from .common import pick, small_batches, stored, trimmed
 
 #: Hashed n-gram space, and the n of its n-grams.
 DIM, NGRAMS = 1 << 12, (1, 2, 3)
-#: A classifier is fitted on about SAMPLE documents a language, for MOST_LANGUAGES at most; each gets CENTROIDS.
-SAMPLE, CENTROIDS, MOST_LANGUAGES, ROUNDS = 400, 4, 1000, 8
-#: A document is rejected below this share of the least cosine seen among sampled documents of its length.
-REJECT_BELOW = 0.5
+#: A classifier is fitted on about SAMPLE different texts a language; each language gets CENTROIDS.
+SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
+#: A document is rejected below this share of the cosine that all but the LOWEST part of sampled documents of its length reach.
+REJECT_BELOW, LOWEST = 0.8, 0.005
+#: Lengths with fewer sampled documents than ENOUGH take the floor of shorter ones, and those below all that have as many SHORTER times the least.
+ENOUGH, SHORTER = 20, 0.5
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -89,28 +91,30 @@ def clustered(x: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, train: Column, *, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids | None:
     """Centroids of the languages of docs(doc_id, text, lang) where train holds; None without any.
 
-    Counts over all training rows give each language's rate; about `sample` of its documents,
-    drawn by a hash of their ids, make the vectors. Each language is clustered in a task of its
-    own; the driver gets centroids alone.
+    About `sample` different texts of each language are drawn by a hash of the text alone, at a
+    rate from an estimate of how many there are, so copies and repeated rows are drawn once;
+    they are merged before anything is dealt out. Each language is clustered in a task of its
+    own, which holds about `sample` vectors. The driver and each worker hold the model:
+    centroids * DIM floats a language (64 KB).
     """
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    if not sizes:
+    rows = rows.select("lang", "text", F.xxhash64("text", F.lit("language")).alias("draw"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("texts"))
+    place = F.pmod("draw", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rates = {r["lang"]: min(1.0, sample / r["texts"]) for r in sizes.collect()}
+    if not rates:
         return None
-    rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.where(draw < F.element_at(rate, F.col("lang")))
+    least = F.create_map(*[F.lit(x) for lang, rate in sorted(rates.items()) for x in (lang, rate)])
+    drawn = rows.where(place < F.element_at(least, F.col("lang"))).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             tf = [counts(t) for t in texts]
             at = [np.flatnonzero(v) for v in tf]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("lang").cast(pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array([v[i] for v, i in zip(tf, at, strict=True)], pa.list_(pa.int32()))], ["doc_id", "lang", "n", "at", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column("draw"), b.column("lang").cast(pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array([v[i] for v, i in zip(tf, at, strict=True)], pa.list_(pa.int32()))], ["draw", "lang", "n", "at", "tf"])
 
-    found = stored(drawn.mapInArrow(vectors, "doc_id long, lang string, n long, at array<int>, tf array<int>"), "language")
+    found = stored(drawn.mapInArrow(vectors, "draw long, lang string, n long, at array<int>, tf array<int>"), "language")
     n = found.count()
     df = {r["i"]: r["count"] for r in found.select(F.explode("at").alias("i")).groupBy("i").count().collect()}
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIM)]))).astype(np.float32) + 1
@@ -122,7 +126,7 @@ def fit(docs: DataFrame, train: Column, *, sample: int = SAMPLE, centroids: int
         return x
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = clustered(normalised(dense(pdf.sort_values("doc_id")), idf), centroids)
+        c = clustered(normalised(dense(pdf.sort_values("draw")), idf), centroids)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "v": [v.tobytes() for v in c]})
 
     got = sorted((r["lang"], bytes(r["v"])) for r in found.groupBy("lang").applyInPandas(cluster, "lang string, v binary").collect())
@@ -134,12 +138,12 @@ def fit(docs: DataFrame, train: Column, *, sample: int = SAMPLE, centroids: int
                 part = pdf.iloc[i : i + 256]
                 yield pd.DataFrame({"bits": [int(x).bit_length() for x in part["n"]], "cos": model.nearest(dense(part))[1].astype(float)})
 
-    least = {r["bits"]: (r["least"], r["n"]) for r in found.mapInPandas(cosines, "bits int, cos double").groupBy("bits").agg(F.min("cos").alias("least"), F.count("*").alias("n")).collect()}
-    floor = min([v for v, _ in least.values()], default=0.0)
-    for bits in range(64):  # a length seen too rarely takes the floor of shorter ones
-        if bits in least and least[bits][1] >= 20:
-            floor = least[bits][0]
-        model.floors[bits] = REJECT_BELOW * min(floor, least.get(bits, (1.0, 0))[0])
+    low = {r["bits"]: (r["low"], r["n"]) for r in found.mapInPandas(cosines, "bits int, cos double").groupBy("bits").agg(F.percentile("cos", LOWEST).alias("low"), F.count("*").alias("n")).collect()}
+    floor = SHORTER * min([v for v, k in low.values() if k >= ENOUGH], default=0.0)
+    for bits in range(64):
+        if bits in low and low[bits][1] >= ENOUGH:
+            floor = low[bits][0]
+        model.floors[bits] = REJECT_BELOW * min(floor, low.get(bits, (1.0, 0))[0])
     return model
 
 
@@ -150,9 +154,11 @@ def identify(docs: DataFrame, model: Centroids | None, keep: dict[str, str]) ->
     """For each row of docs(text, ...): the kept columns (name -> type), lang_pred, score, accepted.
 
     Only the text is looked at. A null text and one without a letter are `und` with score 0,
-    not accepted; all others get the nearest centroid's language with its cosine as score, and
-    are accepted unless they lie much further off than any sampled document of their length.
-    Without a model all are `und`. Repeated rows, null ids and other columns change nothing.
+    not accepted; all others get the nearest centroid's language with its cosine as score (of
+    equal cosines, the first language in order), and are accepted unless they lie much further
+    off than sampled documents of their length. Without a model all are `und`, and those with a
+    letter are accepted: nothing tells against them. Very long texts are counted whole. Repeated
+    rows, null ids and other columns change nothing; an empty table gives no rows.
     """
 
     small_batches(docs.sparkSession)
@@ -163,8 +169,11 @@ def identify(docs: DataFrame, model: Centroids | None, keep: dict[str, str]) ->
                 b = whole.slice(i, 128)
                 texts = b.column("text").to_pylist()
                 lang, score, ok = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
-                at = [j for j, t in enumerate(texts) if model is not None and t and has_letter(t)]
-                if at:
+                at = [j for j, t in enumerate(texts) if t and has_letter(t)]
+                if model is None:
+                    for j in at:
+                        ok[j] = True
+                elif at:
                     best, cos = model.nearest(np.stack([counts(texts[j]) for j in at]))
                     for j, k, c in zip(at, best, cos, strict=True):
                         lang[j], score[j] = model.languages[k], float(min(1.0, max(0.0, c)))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import language
@@ -45,9 +46,43 @@ def test_only_the_text_decides(frame):
     assert [(r["lang_pred"], r["score"]) for r in a] == [(r["lang_pred"], r["score"]) for r in b]
 
 
+@pytest.mark.parametrize("same", [8, None])
+def test_one_id_repeated(frame, same):
+    """The draw doesn't depend on ids, and copies are drawn once."""
+    rows = [(same, t, k, None) for _, t, k, _ in training(300)]
+    got = language.language_rows(frame(rows)).collect()
+    assert len(got) == 600 and all(r["lang_pred"] == ("yy" if "ö" in t or "ü" in t else "xx") for r, (_, t, _, _) in zip(got, rows, strict=True))
+    copies = language.language_rows(frame([(same, "alpha beta gamma delta", "xx", None)] * 600)).collect()
+    assert {(r["lang_pred"], r["accepted"]) for r in copies} == {("xx", True)} and len(copies) == 600
+
+
+def test_many_languages(frame):
+    """More languages than one would list by hand, each of two texts."""
+    rng = random.Random(2)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for _ in range(1100)]
+    rows = [(2 * i + k, " ".join(w * 3), f"l{i}", None) for i, w in enumerate(words) for k in range(2)]
+    model = language.fit(frame(rows), F.lit(True), centroids=1)
+    got = language.identify(frame(rows[:64]).select("text", "lang"), model, {"lang": "string"}).collect()
+    assert len(model.languages) >= 1100 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_letters_at_random_and_an_unlearnt_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs, F.lit(True))
+    rng = random.Random(3)
+    other = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era".split()
+    rows = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)),) for n in (300, 1000, 4000) for _ in range(10)]
+    rows += [(" ".join(rng.choice(other) for _ in range(n // 5)),) for n in (1000, 4000) for _ in range(10)]
+    got = language.identify(spark.createDataFrame(rows, "text string"), model, {"text": "string"}).collect()
+    assert sum(r["accepted"] for r in got) <= 2
+    kept = language.identify(docs.select("text", "doc_id"), model, {"doc_id": "bigint"}).where("accepted").count()
+    assert kept >= 0.995 * docs.count()
+
+
 def test_nothing_to_learn_and_empty_tables(frame):
     docs = frame([(1, "some words", None), (2, None, "en")])
-    assert [r["lang_pred"] for r in language.language_rows(docs).collect()] == ["und", "und"]
+    got = language.language_rows(docs).collect()
+    assert [(r["lang_pred"], r["accepted"]) for r in got] == [("und", True), ("und", False)]
     assert language.language_rows(docs.limit(0)).count() == 0
 
 
