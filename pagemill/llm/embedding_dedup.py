@@ -3,10 +3,11 @@
 1. Vectors with equal components are one class from the start, so copies are never paired.
 2. Coarse centroids and sub-space codes are fitted on a bounded sample of the classes, and every
    class is indexed: its nearest list, the codes of its residual, and the error they leave.
-3. Every class is a query. It probes its own list and each list across whose border (the plane
-   midway between two centroids) a vector within the radius of the threshold may lie. The full
-   radius would open most lists; a difference of that length in no special direction crosses a
-   plane by radius / sqrt(dim) on average, and BORDER times that is allowed.
+3. Every class is a query. It probes its own list and each list whose border (the plane midway
+   between two centroids) lies within a reach of it. A link never crosses a border further than
+   the radius of the threshold, but probing that far opens most lists. The reach is the larger
+   of two that are taken from the table: what neighbours in the directions of other vectors
+   nearby would need, and what the links of some vectors, compared with all rows, do need.
 4. In a list, distances from lookup tables, less the stored error, rule out members for
    certain; the cosine of the rest is computed in double precision.
 """
@@ -28,21 +29,28 @@ from .common import n_partitions, pick, stored
 from .graph import components
 
 THRESHOLD = 0.95
-#: The index is fitted on about SAMPLE classes, or fewer where they exceed SAMPLE_BYTES.
-SAMPLE, SAMPLE_BYTES = 20_000, 16 << 20
-MOST_LISTS, SUBSPACES, CODES, ROUNDS, BORDER = 1024, 8, 64, 8, 3.0
-#: Members of a block and queries of a share; how many different dimensions a table may have.
-BLOCK, SHARE, MOST_DIMENSIONS = 2048, 8192, 16
+#: The index is fitted on about SAMPLE classes, or fewer where they exceed SAMPLE_BYTES; it has a list for 8 of them at most.
+SAMPLE, SAMPLE_BYTES = 32_768, 16 << 20
+SUBSPACES, CODES, ROUNDS = 8, 64, 8
+#: Sampled classes whose links are measured against all rows, the share of links that the reach has to cover, bins of the measure.
+MEASURED, RECALL, BINS = 512, 0.998, 512
+#: Members of a block, queries of a share, bytes of a task; dimensions with up to SMALL classes are compared without an index.
+BLOCK, SHARE, TASK_BYTES, SMALL = 2048, 8192, 32 << 20, 1024
 
 
-def usable(v: list | None) -> np.ndarray | None:
-    """The vector as float64, or None if it can't be compared."""
+def usable(v: list | None, kind: type = np.float64) -> np.ndarray | None:
+    """The vector, or None if it can't be compared."""
     if not v or None in v:
         return None
-    a = np.array(v, np.float64)
+    a = np.array(v, kind)
     return a if np.isfinite(a).all() and a.any() else None
 
 
+def stacked(blobs, kind: type) -> np.ndarray:
+    """Unit vectors in double precision of stored ones."""
+    return unit(np.stack([np.frombuffer(v, kind) for v in blobs]).astype(np.float64))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(-1, keepdims=True)  # squares neither overflow nor vanish
     x = x / big
@@ -73,17 +81,40 @@ class Index:
     books: list[np.ndarray]  # code vectors of each sub-space
     cuts: list[slice]
     radius: float
+    reach: float = 0.0  # how far beyond a border is probed
 
     @classmethod
     def fit(cls, x: np.ndarray, n: int, threshold: float) -> Index:
         """x: unit vectors of a sample; n: how many there are in all."""
         rng = np.random.default_rng(11)
-        k = min(MOST_LISTS, max(1, 1 << round(math.log2(max(1.0, 2 * math.sqrt(n))))), max(1, len(x) // 8))
+        k = min(max(1, 1 << round(math.log2(max(1.0, math.sqrt(n))))), max(1, len(x) // 8))
         lists = kmeans(x, k, rng)
         rest = x - lists[nearest(x, lists)]
         edges = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return cls(lists, [kmeans(np.ascontiguousarray(rest[:, c]), CODES, rng) for c in cuts], cuts, math.sqrt(2 - 2 * threshold) + 1e-9)
+        index = cls(lists, [kmeans(np.ascontiguousarray(rest[:, c]), CODES, rng) for c in cuts], cuts, math.sqrt(2 - 2 * threshold) + 1e-9)
+        index.reach = index.likely_reach(x)
+        return index
+
+    def likely_reach(self, x: np.ndarray) -> float:
+        """What neighbours at the radius need, if they lie in the directions in which other vectors lie nearby: few directions cross more borders than many."""
+        some = x[: 4 * MEASURED]
+        step = np.zeros_like(some)
+        for i in range(0, len(some), 256):
+            cos = some[i : i + 256] @ x[: 16 * MEASURED].T
+            cos[cos > 1 - 1e-9] = -2
+            step[i : i + 256] = x[cos.argmax(1)] - some[i : i + 256]
+        size = np.linalg.norm(step, axis=1, keepdims=True)
+        there = unit(some + step * np.divide(self.radius, size, out=np.zeros_like(size), where=size > 0))
+        need = self.needed(some, nearest(some, self.lists), nearest(there, self.lists))
+        return float(np.quantile(need, RECALL)) if len(need) else 0.0
+
+    def needed(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How far each x lies from its own list's border with another one, at most the radius where a link crosses it."""
+        a, b = self.lists[own], self.lists[other]
+        apart = np.sqrt(((a - b) ** 2).sum(1))
+        gap = ((x - b) ** 2).sum(1) - ((x - a) ** 2).sum(1)
+        return np.divide(gap, 2 * apart, out=np.zeros(len(x)), where=apart > 0)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and error of each vector."""
@@ -99,8 +130,7 @@ class Index:
         own = d.argmin(1)
         apart = np.sqrt(np.maximum(((self.lists[own][:, None] - self.lists[None]) ** 2).sum(2), 1e-18))
         beyond = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart)
-        reach = min(self.radius, BORDER * self.radius / math.sqrt(x.shape[1]))
-        ok = beyond <= reach
+        ok = beyond <= min(self.reach, self.radius)
         ok[np.arange(len(x)), own] = True
         return [np.flatnonzero(r) for r in ok]
 
@@ -114,89 +144,144 @@ class Index:
         return out
 
 
-def classes_of(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim, cls, vec (float64 bytes) of each row; nulls but for vec_id where a vector can't be compared."""
+def classes_of(vectors: DataFrame, kind: type) -> DataFrame:
+    """vec_id, dim, cls, vec (bytes) of each row; nulls but for vec_id where a vector can't be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                vs = [usable(v) for v in part.column("embedding").to_pylist()]
-                raw = [None if v is None else (v + 0.0).tobytes() for v in vs]  # + 0.0: no negative zeros
+                vs = [usable(v, kind) for v in part.column("embedding").to_pylist()]
+                raw = [None if v is None else (v + kind(0)).tobytes() for v in vs]  # + 0: no negative zeros
                 yield pa.RecordBatch.from_arrays([part.column("vec_id").cast(pa.int64()), pa.array([None if v is None else len(v) for v in vs], pa.int32()), pa.array([None if r is None else xxhash.xxh3_64_intdigest(r) >> 1 for r in raw], pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "dim", "cls", "vec"])
 
     return pick(vectors, vec_id="vec_id", embedding="embedding").mapInArrow(run, "vec_id long, dim int, cls long, vec binary")
 
 
-def sampled(classes: DataFrame, n: int, dim: int) -> np.ndarray:
+def sampled(classes: DataFrame, n: int, dim: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and unit vectors of the classes whose hash is low, in an order of no meaning."""
     rate = min(1.0, min(SAMPLE, SAMPLE_BYTES / (8 * dim)) / max(n, 1))
     got = sorted((r["cls"], bytes(r["vec"])) for r in classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("cls", "vec").collect())
-    return unit(np.stack([np.frombuffer(v, np.float64) for _, v in got])) if got else np.empty((0, dim))
+    return np.array([c for c, _ in got], np.int64), stacked([v for _, v in got], kind) if got else np.empty((0, dim))
 
 
-def search(classes: DataFrame, dim: int, threshold: float) -> DataFrame | None:
-    """classes(cls, vec, copies) of one dimension -> u, v, n: in each block that holds any, how many vectors a class links with, and a link or two that connect them."""
-    n = classes.count()
-    sample = sampled(classes, n, dim)
-    if not len(sample):
-        return None
+def measured_reach(classes: DataFrame, index: Index, names: np.ndarray, x: np.ndarray, threshold: float, kind: type) -> float:
+    """The reach that covers RECALL of the links that the first MEASURED sampled classes have with all rows; a histogram of fixed size comes to the driver."""
+    names, x = names[:MEASURED], x[:MEASURED]
+    own = nearest(x, index.lists)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS + 1, np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                y = stacked(part.column("vec").to_pylist(), kind)
+                at, q = np.nonzero((y @ x.T >= threshold) & (part.column("cls").to_numpy()[:, None] != names[None]))
+                if len(at):
+                    need = index.needed(x[q], own[q], nearest(y[at], index.lists))
+                    total += np.bincount(np.clip(np.ceil(need / index.radius * BINS), 0, BINS).astype(np.int64), minlength=BINS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS + 1), pa.int32()), pa.array(total)], ["bin", "n"])
+
+    found = np.zeros(BINS + 1, np.int64)
+    for r in classes.select("cls", "vec").mapInArrow(measure, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        found[r["bin"]] = r["n"]
+    return float(np.searchsorted(np.cumsum(found), RECALL * found.sum())) / BINS * index.radius if found.any() else 0.0
+
+
+class Links:
+    """Links of queries with the members of one block: how many vectors each query links with, and links that connect it with all of them."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, threshold: float):
+        self.ids, self.copies, self.x, self.threshold = ids, copies, x, threshold
+        self.root = np.arange(len(ids))  # members with one root are connected by links given out already
+        self.u: list[int] = []
+        self.v: list[int] = []
+        self.n: list[int] = []
+
+    def ask(self, cls: int, q: np.ndarray, near: np.ndarray) -> None:
+        """near: the members that may link."""
+        at = np.flatnonzero(near & (self.ids != cls))
+        at = at[(self.x[at] * q).sum(1) >= self.threshold] if len(at) else at
+        if not len(at):
+            return
+        roots, first = np.unique(self.root[at], return_index=True)
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+        for i, k in enumerate(at[first]):
+            self.u.append(cls)
+            self.v.append(self.ids[k])
+            self.n.append(0 if i else int(self.copies[at].sum()))
+
+
+LINKS = "u long, v long, n long"
+
+
+def link_frame(found: list[Links]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.array([x for f in found for x in getattr(f, c)], np.int64) for c in ("u", "v", "n")})
+
+
+def compared(pdf: pd.DataFrame, threshold: float, kind: type) -> pd.DataFrame:
+    """cls, vec, copies of a small dimension: all links, without an index."""
+    x, ids = stacked(pdf["vec"], kind), pdf["cls"].to_numpy()
+    found = Links(ids, pdf["copies"].to_numpy(), x, threshold)
+    for i in range(0, len(x), 256):
+        near = x[i : i + 256] @ x.T >= threshold - 1e-9
+        for j, row in enumerate(near):
+            found.ask(int(ids[i + j]), x[i + j], row)
+    return link_frame([found])
+
+
+def search(classes: DataFrame, n: int, dim: int, threshold: float, kind: type) -> DataFrame:
+    """classes(cls, vec, copies), n of one dimension -> u, v, n: in each block that holds any, how many vectors a class links with, and links that connect it with them."""
+    names, sample = sampled(classes, n, dim, kind)
     index = Index.fit(sample, n, threshold)
+    index.reach = max(index.reach, measured_reach(classes, index, names, sample, threshold, kind))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                x = unit(np.stack([np.frombuffer(v, np.float64) for v in part.column("vec").to_pylist()]))
+                x = stacked(part.column("vec").to_pylist(), kind)
                 own, codes, error = index.encode(x)
                 ok = index.probes(x)
                 yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("vec"), part.column("copies"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array(ok, pa.list_(pa.int32()))], ["cls", "vec", "copies", "own", "codes", "error", "probes"])
 
     placed = stored(classes.mapInArrow(place, "cls long, vec binary, copies long, own int, codes binary, error double, probes array<int>"), "placed")
-    members = placed.groupBy("own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asked = placed.select(F.explode("probes").alias("own")).groupBy("own").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    sized = {r["own"]: (r["blocks"], r["shares"]) for r in members.join(asked, "own").collect()}  # one row a list: MOST_LISTS at most
-    blocks = F.create_map(*[F.lit(x) for k, (b, _) in sized.items() for x in (k, b)])
-    shares = F.create_map(*[F.lit(x) for k, (_, s) in sized.items() for x in (k, s)])
+    members = placed.groupBy("own").agg(F.count("*").alias("members"))
+    asked = placed.select(F.explode("probes").alias("own")).groupBy("own").agg(F.count("*").alias("asked"))
+    lists = members.join(asked, "own").collect()  # one row a list
+    blocks = F.create_map(*[F.lit(x) for r in lists for x in (r["own"], math.ceil(r["members"] / BLOCK))])
+    shares = F.create_map(*[F.lit(x) for r in lists for x in (r["own"], math.ceil(r["asked"] / SHARE))])
     left = placed.select("own", "cls", "vec", "copies", "codes", "error", F.pmod(F.xxhash64("cls"), F.element_at(blocks, F.col("own"))).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.element_at(shares, F.col("own")) - 1)).alias("s"))
-    right = placed.select(F.col("cls").alias("q"), F.col("vec").alias("qvec"), F.explode("probes").alias("own")).where(F.col("own").isin(*sized))
+    right = placed.select(F.col("cls").alias("q"), F.col("vec").alias("qvec"), F.explode("probes").alias("own")).where(F.element_at(blocks, F.col("own")).isNotNull())
     right = right.select("own", "q", "qvec", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("own")) - 1)).alias("b"), F.pmod(F.xxhash64("q"), F.element_at(shares, F.col("own"))).cast("int").alias("s"))
-    tasks = max(n_partitions(classes.sparkSession), math.ceil(n * 30 * 8 * dim / (32 << 20)))
+    carried = sum(r["asked"] * math.ceil(r["members"] / BLOCK) + r["members"] * math.ceil(r["asked"] / SHARE) for r in lists)
+    tasks = max(n_partitions(classes.sparkSession), math.ceil(carried * dim * np.dtype(kind).itemsize / TASK_BYTES))
     task = F.pmod(F.xxhash64("own", "b", "s"), F.lit(tasks)).alias("task")
 
     def scan(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out_u, out_v, out_n = [], [], []
+        found = []
         held = {k: v for k, v in members.groupby(["own", "b", "s"], sort=False)}
         for key, mine in queries.groupby(["own", "b", "s"], sort=False):
             if (block := held.get(key)) is None:
                 continue
-            ids, copies, error = block["cls"].to_numpy(), block["copies"].to_numpy(), block["error"].to_numpy()
+            error = block["error"].to_numpy()
             codes = np.stack([np.frombuffer(c, np.uint8) for c in block["codes"]]).astype(np.int64)
-            x = unit(np.stack([np.frombuffer(v, np.float64) for v in block["vec"]]))
-            root = np.arange(len(ids))  # one link is kept for each member and query that aren't connected here already
+            links = Links(block["cls"].to_numpy(), block["copies"].to_numpy(), stacked(block["vec"], kind), threshold)
+            found.append(links)
             for i in range(0, len(mine), 64):
                 part = mine.iloc[i : i + 64]
-                q = unit(np.stack([np.frombuffer(v, np.float64) for v in part["qvec"]]))
+                q = stacked(part["qvec"], kind)
                 t = index.tables(q, key[0])
                 far = sum(t[:, m, codes[:, m]] for m in range(codes.shape[1]))
                 near = np.sqrt(far) - error <= index.radius + 1e-7
-                for j, cls in enumerate(part["q"]):
-                    at = np.flatnonzero(near[j] & (ids != cls))
-                    at = at[(x[at] * q[j]).sum(1) >= threshold] if len(at) else at
-                    if not len(at):
-                        continue
-                    n = int(copies[at].sum())
-                    roots = np.unique(root[at])
-                    root[np.isin(root, roots)] = roots[0]
-                    for k in roots:
-                        out_u.append(cls)
-                        out_v.append(ids[at[0]] if k == roots[0] else ids[k])
-                        out_n.append(n)
-                        n = 0
-        return pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64), "n": np.array(out_n, np.int64)})
+                for j in np.flatnonzero(near.any(1)):
+                    links.ask(int(part["q"].iloc[j]), q[j], near[j])
+        return link_frame(found)
 
     l = left.select(task, "own", "b", "s", "cls", "vec", "copies", "codes", "error").groupBy("task")
     r = right.select(task, "own", "b", "s", "q", "qvec").groupBy("task")
-    return l.cogroup(r).applyInPandas(scan, "u long, v long, n long")
+    return l.cogroup(r).applyInPandas(scan, LINKS)
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -207,19 +292,21 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD) -> Data
     (repeated rows too) link with one another and count as links; vectors of different
     dimensions don't. A null vec_id is never a component's id unless all in it are null. An
     empty table gives no rows. Found links are exact; a pair is missed only if it lies across
-    a list's border by more than is probed.
+    a list's border by more than the reach, which covers RECALL of the links measured. Dimensions
+    are searched one after another, all small ones in one pass.
     """
-    rows = stored(classes_of(vectors), "vectors")
+    spark = vectors.sparkSession
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+    rows = stored(classes_of(vectors, kind), "vectors")
     # partial sums hold one vector for each class and task; a group of copies is one row from there on
     ids = rows.where("cls IS NOT NULL").groupBy("dim", "cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
     classes = stored(ids, "classes")
-    dims = [r["dim"] for r in classes.select("dim").distinct().limit(MOST_DIMENSIONS + 1).collect()]
-    if len(dims) > MOST_DIMENSIONS:
-        raise ValueError(f"more than {MOST_DIMENSIONS} different dimensions")
-    found = [f for d in sorted(dims) if (f := search(classes.where(F.col("dim") == d).select("cls", "vec", "copies"), d, threshold)) is not None]
-    edges = classes.sparkSession.createDataFrame([], "u long, v long, n long")
-    for f in found:
-        edges = edges.union(f)
+    dims = classes.groupBy("dim").agg(F.count("*").alias("n"))
+    large = {r["dim"]: r["n"] for r in dims.where(F.col("n") > SMALL).collect()}  # a row for SMALL vectors at least
+    small = classes.where(~F.col("dim").isin(*large)) if large else classes
+    edges = small.select("dim", "cls", "vec", "copies").groupBy("dim").applyInPandas(lambda pdf: compared(pdf, threshold, kind), LINKS)
+    for d, n in sorted(large.items()):
+        edges = edges.union(search(classes.where(F.col("dim") == d).select("cls", "vec", "copies"), n, d, threshold, kind))
     edges = stored(edges, "links")
     counts = edges.groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("n"))
     parts = components(edges.select("u", "v")).withColumnRenamed("node", "cls")
