@@ -1,4 +1,7 @@
 import re
+from re import _parser
+
+import pytest
 
 from pagemill.llm import licenses
 from pagemill.llm.queries import op3_license_scan
@@ -60,8 +63,61 @@ def test_containment_and_priority(spark):
     texts = spark.createDataFrame([("a", " licensed under the apache license version 2 0 and cc by sa 4 0 ")], "key string, norm string")
     got = sorted((r["label"], r["tier"], r["first"], r["end"]) for r in licenses.detections(texts, spark).collect())
     assert got[0] == ("apache", 1, 0, 8)
-    assert ("cc by sa", 3, 9, 14) in got and not any(g[0] == "cc by" for g in got)
-    assert len(licenses.rule_rows()) > 300
+    assert ("cc by sa", 2, 9, 14) in got and not any(g[0] == "cc by" for g in got)
+
+
+def samples(parsed, wide):
+    """A shortest (or wider) text for each first branch of a regex, and for each top branch."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            least = max(arg[0], 1) if wide else arg[0]
+            more = [s * least for s in samples(arg[2], wide)[:1]]
+        elif kind == "SUBPATTERN":
+            more = samples(arg[3], wide)
+        elif kind == "BRANCH":
+            more = [s for branch in arg[1] for s in samples(branch, wide)]
+        elif kind == "IN":
+            more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        else:
+            more = ["x"]
+        out = [a + b for a in out for b in more][:40]
+    return out
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_every_signature_meets_its_keyword_and_the_gate(wide):
+    gate = re.compile(licenses.GATE)
+    assert len(licenses.SIGNATURES) >= 150 and len({s[0] for s in licenses.SIGNATURES}) >= 50
+    for (label, tier, sure, keyword, pattern), (*_, regex) in zip(licenses.SIGNATURES, licenses.rule_rows(), strict=True):
+        assert 1 <= tier <= licenses.TIERS and 0 < sure <= 1
+        for text in samples(_parser.parse(pattern), wide):
+            assert re.search(regex, f" {text} "), (label, text)
+            assert keyword in text and gate.search(text), (label, text)
+
+
+TEXTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice",
+    "apache": "you may not use this file except in compliance. You may obtain a copy of the License at\n\n http://www.apache.org/licenses/LICENSE-2.0\n",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "zlib": "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "boost": "// SPDX-License-Identifier: BSL-1.0",
+    "json": "The Software shall be used for Good, not Evil.",
+}
+
+
+def test_texts_of_licenses(frame):
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(frame(list(enumerate(TEXTS.values())))).collect()}
+    for i, label in enumerate(TEXTS):
+        found = set(rows[i]["labels"].split(","))
+        assert label in found and found <= {label, "public domain", "gpl"} and rows[i]["score"] >= 0.9, (label, found)
 
 
 def test_repeated_rows_nulls_and_empty_tables(frame):
