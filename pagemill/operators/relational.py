@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import visible
@@ -14,6 +16,22 @@ def ordered_text(rows: DataFrame, *keys: str, order: str = "tok", data: str = "d
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["s"]), "").alias(name))
 
 
+def text_of(nodes: Column, parents: Callable[[Column], Column], inside: bool = True) -> Column:
+    """The texts of a document's nodes (an array in order) whose parent meets a condition, or doesn't, joined; null without any."""
+    ids = F.transform(F.filter(nodes, parents), lambda n: n["node"])
+    texts = F.filter(nodes, lambda n: (n["kind"] == "text") & (F.array_contains(ids, n["parent"]) == F.lit(inside)))
+    return F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda n: n["data"]), ""))
+
+
+def node_at(nodes: Column, *path: int) -> Column:
+    """The node at a path of child positions from the root, out of a document's nodes; null if there is none."""
+    at = F.get(F.filter(nodes, lambda n: n["parent"].isNull()), F.lit(0))
+    for sib in path:
+        up = at
+        at = F.get(F.filter(nodes, lambda n: (n["parent"] == up["node"]) & (n["sib"] == sib)), F.lit(0))
+    return at
+
+
 def shape(tokens: DataFrame) -> DataFrame:
     """Tokens without characters, as labels: DOCTYPE, <tag>, <tag/>, </tag>, comment, EOF."""
     label = (

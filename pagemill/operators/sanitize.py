@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_attribute, escape_text
-from .lex import build_tree, lexed
+from .lex import lexed, once
 from .states import VOID
 
 #: White space of the patterns in a policy, spelt out: it is wider than Java's \s.
@@ -33,31 +33,35 @@ def safe_attributes(attrs: Column, policy: Policy = Policy()) -> Column:
     return F.filter(attrs, safe)
 
 
-def drop_subtrees(nodes: DataFrame, tags: tuple[str, ...]) -> DataFrame:
-    """Nodes outside all elements of these tags.
+def kept_nodes(nodes: Column, policy: Policy = Policy()) -> Column:
+    """A document's nodes (an array in order of pre) outside all dropped elements, with their safe attributes.
 
-    In order of pre, a node is inside a dropped element if the largest post of those opened
-    so far lies beyond its own: one sort for each document, no self-join.
+    A node is inside a dropped element if the largest post of those opened so far lies beyond
+    its own; a nested element's post is smaller than its holder's, so dropped ranges are told
+    by their outermost elements alone.
     """
-    gone = F.col("tag").isin(*tags) & (F.col("kind") == "element")
-    w = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.when(gone, F.col("post"))).over(w)
-    return nodes.withColumn("_reach", reach).where("_reach IS NULL OR _reach < post").drop("_reach")
+    gone = F.filter(nodes, lambda n: (n["kind"] == "element") & n["tag"].isin(*policy.dropped))
+    outside = F.filter(nodes, lambda n: ~F.exists(gone, lambda g: (g["pre"] <= n["pre"]) & (n["post"] <= g["post"])))
+    return F.transform(outside, lambda n: n.withField("attrs", safe_attributes(n["attrs"], policy)))
 
 
-def serialize(nodes: DataFrame) -> DataFrame:
-    """doc_id, html: opening pieces in order of pre and closing ones in order of post, which share a counter."""
-    attrs = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), escape_attribute(a["value"]), F.lit('"'))), "")
-    start = F.when(F.col("kind") == "element", F.concat(F.lit("<"), "tag", attrs, F.lit(">"))).when(F.col("kind") == "text", escape_text(F.col("data"))).when(F.col("kind") == "comment", F.concat(F.lit("<!--"), "data", F.lit("-->"))).otherwise("")
-    end = F.when((F.col("kind") == "element") & ~F.col("tag").isin(*sorted(VOID)), F.concat(F.lit("</"), "tag", F.lit(">"))).otherwise("")
-    piece = F.array_sort(F.flatten(F.collect_list(F.array(F.struct(F.col("pre").alias("at"), start.alias("s")), F.struct(F.col("post").alias("at"), end.alias("s"))))))
-    return nodes.groupBy("doc_id").agg(F.array_join(F.transform(piece, lambda p: p["s"]), "").alias("html"))
+def html_of(nodes: Column) -> Column:
+    """A document's nodes as html: opening pieces in order of pre and closing ones in order of post, which share a counter."""
+
+    def start(n: Column) -> Column:
+        attrs = F.array_join(F.transform(n["attrs"], lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), escape_attribute(a["value"]), F.lit('"'))), "")
+        return F.when(n["kind"] == "element", F.concat(F.lit("<"), n["tag"], attrs, F.lit(">"))).when(n["kind"] == "text", escape_text(n["data"])).when(n["kind"] == "comment", F.concat(F.lit("<!--"), n["data"], F.lit("-->"))).otherwise("")
+
+    closed = F.filter(nodes, lambda n: (n["kind"] == "element") & ~n["tag"].isin(*sorted(VOID)))
+    opening = F.transform(nodes, lambda n: F.struct(n["pre"].alias("at"), start(n).alias("s")))
+    closing = F.transform(closed, lambda n: F.struct(n["post"].alias("at"), F.concat(F.lit("</"), n["tag"], F.lit(">")).alias("s")))
+    return F.array_join(F.transform(F.array_sort(F.concat(opening, closing)), lambda p: p["s"]), "")
 
 
 def sanitize(docs: DataFrame, policy: Policy = Policy(), **options) -> DataFrame:
-    """doc_id, html without the elements and attributes that the policy drops. One shuffle, by document."""
-    nodes = drop_subtrees(build_tree(docs, **options), policy.dropped)
-    return serialize(nodes.withColumn("attrs", safe_attributes(F.col("attrs"), policy)))
+    """doc_id, html without the elements and attributes that the policy drops: one parse and array functions, no shuffle."""
+    kept = lexed(docs, want=("nodes",), **options).select("doc_id", kept_nodes(F.col("x.nodes"), policy).alias("nodes"))
+    return once(kept.select("doc_id", "nodes"), html_of(F.col("nodes")), "html").select("doc_id", "html")
 
 
 def contexts_frame(spark: SparkSession, *tags: str) -> DataFrame:
@@ -83,7 +87,7 @@ def mutation_check(docs: DataFrame, safe: str = "textarea", live: str = "div") -
 
     first = parse_in_contexts(docs, (safe,))
     text = F.array_join(F.transform(F.filter("nodes", lambda n: n["kind"] == "text"), lambda n: n["data"]), "")
-    held = first.select("doc_id", (elements(F.col("nodes")) == 0).alias("inert"), text.alias("captured"))
+    held = once(first.select("doc_id", (elements(F.col("nodes")) == 0).alias("inert"), "nodes"), text, "captured").drop("nodes")
     keyed = held.select(F.struct("doc_id", "inert", "captured").alias("doc_id"), F.col("captured").alias("html"), F.lit(live).alias("context"))
     again = lexed(keyed, want=("nodes",), context=F.col("context")).select("doc_id.*", elements(F.col("x.nodes")).alias("live_elements"))
     return again.withColumn("mutates", F.col("inert") & (F.col("live_elements") > 0))

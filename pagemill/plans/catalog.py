@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_attribute, escape_html, map_code_point, named_reference, naive_strip_script, preprocess, visible
 from ..operators import relational
-from ..operators.lex import build_tree, decode_references, doctypes, end_states, lexed, parse_errors, state_trace, tokenize
+from ..operators.lex import build_tree, decode_references, doctypes, lex_column, lexed, parse_errors, tokenize, trace_runs
 from ..operators.sanitize import mutation_check, parse_in_contexts, sanitize
-from ..operators.states import TITLES, VOID
+from ..operators.states import VOID
 from ..sources.documents import pages
 from . import fixtures
 
@@ -88,19 +88,15 @@ def doctype_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT page_id, " + DECODED.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')") + " AS title FROM pages")
 def title_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = build_tree(pages(spark, sf_dir))
-    titles = nodes.where("tag = 'title'").select(F.col("doc_id").alias("d"), F.col("node").alias("title"))
-    texts = nodes.where("kind = 'text'").join(titles, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("title")))
-    return relational.ordered_text(texts, "doc_id", order="pre", name="title").withColumnRenamed("doc_id", "page_id")
+    title = relational.text_of(F.col("x.nodes"), lambda n: n["tag"] == "title")
+    return lexed(pages(spark, sf_dir), want=("nodes",)).select(F.col("doc_id").alias("page_id"), title.alias("title")).where("title IS NOT NULL")
 
 
 @registered(BLANKED + f" SELECT page_id, md5({TEXT}) AS digest FROM b")
 def visible_text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each page outside script and style."""
-    nodes = build_tree(pages(spark, sf_dir))
-    raw = nodes.where("tag IN ('script', 'style')").select(F.col("doc_id").alias("d"), F.col("node").alias("p"))
-    texts = nodes.where("kind = 'text'").join(raw, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("p")), "left_anti")
-    return relational.ordered_text(texts, "doc_id", order="pre").select(F.col("doc_id").alias("page_id"), F.md5("text").alias("digest"))
+    text = relational.text_of(F.col("x.nodes"), lambda n: n["tag"].isin("script", "style"), inside=False)
+    return lexed(pages(spark, sf_dir), want=("nodes",)).select(F.col("doc_id").alias("page_id"), text.alias("text")).where("text IS NOT NULL").select("page_id", F.md5("text").alias("digest"))
 
 
 @registered(
@@ -134,7 +130,7 @@ def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT page_id, 'title' AS tag FROM pages")
 def path_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second child of the first child of each page's first node."""
-    return relational.child_at(build_tree(pages(spark, sf_dir)), 0, 0, 1).select(F.col("doc_id").alias("page_id"), "tag")
+    return lexed(pages(spark, sf_dir), want=("nodes",)).select(F.col("doc_id").alias("page_id"), relational.node_at(F.col("x.nodes"), 0, 0, 1)["tag"].alias("tag")).where("tag IS NOT NULL")
 
 
 @registered("SELECT page_id, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS href FROM pages WHERE html LIKE '%<a href=%'")
@@ -163,7 +159,7 @@ def first_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def state_trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.trace_runs(state_trace(pages(spark, sf_dir))).withColumnRenamed("doc_id", "page_id")
+    return trace_runs(pages(spark, sf_dir)).withColumnRenamed("doc_id", "page_id")
 
 
 @registered()
@@ -210,8 +206,8 @@ def fragments_in_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pure_differs_from_driven(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose tokens depend on who drives the tokenizer: each has markup inside a script."""
     docs = pages(spark, sf_dir)
-    flat = lambda driven: tokenize(docs, driven=driven).select("doc_id", "tok", "kind", "tag", "data")
-    return relational.differences(flat(False), flat(True)).select(F.col("doc_id").alias("page_id")).distinct()
+    flat = lambda driven: F.transform(lex_column(preprocess(F.col("html")), driven=driven)["tokens"], lambda t: F.struct(t["tok"], t["kind"], t["tag"], t["data"]))
+    return docs.where(flat(False) != flat(True)).select(F.col("doc_id").alias("page_id"))
 
 
 @registered("SELECT url, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, replace(replace(url, '&', '&amp;'), '\"', '&quot;') AS attribute, replace(url, chr(10), '\\n') AS shown FROM pages")
@@ -233,16 +229,5 @@ def mapped_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n", map_code_point(F.col("n")).alias("mapped"), F.when(named_reference(F.concat(F.lit("amp;"), F.col("n").cast("string"))) == "&", F.when(F.col("n") == 0, "x")).alias("name"))
 
 
-@registered("SELECT * FROM (VALUES " + ", ".join(f"('{t}', true)" for t in TITLES.values()) + ") t(state, known)")
-def state_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every state takes a step on one and the same input."""
-    docs = spark.createDataFrame([(t, "x>", s) for s, t in TITLES.items()], "doc_id string, html string, init_state string").where("init_state NOT LIKE '%END_TAG_NAME'")
-    named = spark.createDataFrame([(t, "x>", s) for s, t in TITLES.items()], "doc_id string, html string, init_state string").where("init_state LIKE '%END_TAG_NAME'")
-    stepped = end_states(docs, init_state=F.col("init_state"), steps=1)
-    opened = named.withColumn("html", F.lit("</x>")).withColumn("init_state", F.regexp_replace("init_state", "_END_TAG_NAME$", ""))
-    reached = lexed(opened, want=("trace",), init_state=F.col("init_state"), steps=4).where(F.exists("x.trace", lambda t: t["state"] == F.col("doc_id"))).select("doc_id")
-    return stepped.select("doc_id").union(reached).select(F.col("doc_id").alias("state"), F.lit(True).alias("known"))
-
-
 for _name, (_query, _sql) in fixtures.QUERIES.items():
     QUERIES[_name], ORACLES[_name] = _query, _sql
