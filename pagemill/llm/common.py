@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,11 +23,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local mode (tests), and an error on a cluster."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         there = spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")

@@ -40,6 +40,8 @@ HOT, LOW, SHORT = 16, 0.4, 256
 SPARE = 20
 #: What a task holds of shingles before it passes them on, and of pairs while it counts them.
 TOKENS_AT_ONCE, PAIRS_AT_ONCE = 600_000, 400_000
+#: Keys that the classes of one minimum hash are spread over where they meet the group's first.
+SALTS = 8
 _CUT = np.uint64(int(LOW * 2**64))
 #: Bits of each bitmap (4 MB), minimum hashes of a class, members of a block, bytes of one task's sets.
 BITS, MINIMA, BLOCK, TASK_BYTES = 1 << 25, 4, 256, 12 << 20
@@ -442,8 +444,8 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     Needs doc_id and text; other columns are ignored. A null text and one without words have no
     shingles and link with nothing: component_id is their own id. Equal sets (copies, repeated
     rows) are one class from the first pass on, so they are never paired. A null id is never a
-    component's id unless all in it are null. An empty table gives no rows. `hot` only steers
-    cost: whatever it is, every link is found.
+    component's id unless all in it are null. Very long texts count whole. An empty table gives
+    no rows. `hot` only steers cost: whatever it is, every link is found.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -459,7 +461,9 @@ def jaccard_join(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     buckets = classes.select("cls", "n", "copies", F.posexplode(F.array(*[f"m{i}" for i in range(MINIMA)])).alias("i", "m"))
     leaders = buckets.groupBy("i", "m").agg(F.min(F.struct(-F.col("copies"), "cls")).getField("cls").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k")
     sizes = classes.select(F.col("cls").alias("lead"), F.col("n").alias("ln"))
-    near = buckets.join(leaders, ["i", "m"]).where("cls <> lead").select("cls", "n", "lead").distinct().join(sizes, "lead")
+    salted = buckets.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))  # many classes may share a minimum
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = salted.join(leaders, ["i", "m", "salt"]).where("cls <> lead").select("cls", "n", "lead").distinct().join(sizes, "lead")
     near = stored(near.where(f"100 * least(n, ln) >= {SIMILAR} * greatest(n, ln)").select("cls", "lead"), "near")
     ones = near.select(F.col("lead").alias("grp")).distinct().withColumn("cls", F.col("grp"))
     near = compared(docs, classes, near.select(F.col("cls").alias("q"), F.col("lead").alias("grp"), F.lit(False).alias("own")), ones, SIMILAR)

@@ -95,6 +95,23 @@ def test_chains_of_edits(frame):
     assert result(J.jaccard_join(frame(docs))) == brute(docs)
 
 
+@pytest.mark.parametrize("block, hot", [(256, 16), (2, 16), (2, 1)])
+def test_chains_of_windows(frame, monkeypatch, block, hot):
+    """A-B and C-D share 191 of 201 shingles, B-C 175 of 217: each middle's best partner isn't in the other half of its chain."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    rng = random.Random(14)
+    docs = []
+    for chain in range(200 if block > 2 else 60):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(260)]
+        docs += [(10 * chain + k, " ".join(w[at : at + 200])) for k, at in enumerate((0, 5, 26, 31))]
+    rng.shuffle(docs)
+    got = J.jaccard_join(frame(docs), hot=hot)
+    want = brute(docs)
+    assert {c for _, c in want.values()} == {10 * k for k in range(len(docs) // 4)}
+    assert result(got) == want
+    assert sorted(map(tuple, got.select("doc_id", "n_links").collect())) == linked_rows(docs) if len(docs) < 300 else True
+
+
 def linked_rows(docs):
     """How many other rows each row links with, by comparing all pairs."""
     sets = []
