@@ -21,6 +21,8 @@ DICT_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SUFFIX = ".warc.zst"
 #: An archive is closed beyond ARCHIVE_BYTES; its dictionary has DICT_BYTES at most and is trained on the archive's first SAMPLES payloads.
 ARCHIVE_BYTES, DICT_BYTES, SAMPLES, SAMPLE_BYTES = 8 << 20, 16 << 10, 200, 4 << 10
+#: Keys that the pages of one payload are spread over.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -63,12 +65,16 @@ def plan_records(pages: DataFrame, *, least: int = 0) -> DataFrame:
 
     Only ids and digests are grouped and joined; the pages are dealt by (page_id, digest),
     which is even whatever the groups of copies. Rows that share the smallest id are all
-    responses; a null html is an empty payload.
+    responses; a null html is an empty payload; very long pages are records like others. An empty
+    table gives no rows.
     """
     p = pick(pages, page_id="page_id", url="url", html="html").withColumn("digest", F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))))
     ids = p.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= least).select("page_id", "digest")
     first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = ids.join(first, "digest").where("page_id > first").select(F.col("page_id").alias("i"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
+    # one payload may be that of a third of all pages, so its pages are spread over SALTS keys
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = salted.join(first, ["digest", "salt"]).where("page_id > first").select(F.col("page_id").alias("i"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
     return p.join(later, (F.col("page_id") == F.col("i")) & (F.col("digest") == F.col("d")), "left").drop("i", "d")
 
 
@@ -205,8 +211,8 @@ def named(uri: str) -> str | None:
     return uri.strip("<>").removeprefix("urn:page:") or None
 
 
-def archive_records(data: bytes, most: int = 1 << 30) -> Iterator[dict]:
-    """The records of an archive, one in memory at a time; a bad one comes as {"offset", "error"}, and the next frame follows."""
+def archive_records(data: bytes, most: int | None = None) -> Iterator[dict]:
+    """The records of an archive, one in memory at a time; a bad one comes as {"offset", "error"}, and the next frame follows. A record beyond `most` bytes is a bad one, if that is given."""
     view, at, dictionary = memoryview(data).cast("B"), 0, None
     try:
         lead = skippable(view, 0) if len(data) else None
@@ -231,7 +237,7 @@ def archive_records(data: bytes, most: int = 1 << 30) -> Iterator[dict]:
             return
         try:
             size = zstandard.frame_content_size(view[at:end])
-            if size > most:
+            if most is not None and size > most:
                 raise BadRecord("a record is longer than allowed")
             raw = d.decompress(view[at:end]) if size >= 0 else d.decompressobj().decompress(view[at:end])
             yield parse_record(raw) | {"offset": at, "error": None}

@@ -174,3 +174,15 @@ def test_stages_take_odd_tables(spark):
         f(spark, docs, SF).collect()
         assert f(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[2][1](spark, docs, SF).where("doc_id = 2").count() == 1
+
+
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    """Ids that repeat with other texts, null ids, equal rows: one row of each group, all others stay."""
+    long = " ".join(f"w{i}" for i in range(60))
+    near = " ".join(f"w{i}" if i != 30 else "x" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, long), (5, other), (5, long), (7, near), (None, near), (None, "only here five words long"), (None, "only here five words long"), (9, ""), (9, ""), (8, other), (11, None), (3, "short")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, key long").selectExpr("*", "1 AS again", "2 AS gone_key", "'x' AS id")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, long), (5, other), (None, "only here five words long"), (9, ""), (9, ""), (11, None), (3, "short")], key=str)
