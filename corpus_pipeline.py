@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import language, mixing, ngram_join, packing, quality
@@ -40,20 +40,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the smallest id; those without words are no group.
+    """Keeps one row of each group: that with the smallest id (null ids last, ties by a hash); rows without words are no group and stay.
 
-    Only rows that a bitmap of the ids that go may hold are joined with those ids, so the texts
-    that stay aren't dealt out. Rows that repeat an id are looked for among the ids
-    alone, and only where there are any are they dealt out to keep one of each. Rows without
-    an id can't be told apart and stay.
+    Rows are told apart by a hash of id and text, so an id that repeats with another text is
+    another document. Only rows that a bitmap of the hashes that go may hold are joined with
+    those, so the texts that stay aren't dealt out. Equal rows have one hash; only where there
+    are any are they looked for and made one.
     """
-    groups = stored(ngram_join.jaccard_join(docs).select("doc_id", "n_shingles", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    maybe = ngram_join.in_bitmap(ngram_join.bitmap(gone.select(F.xxhash64("gone").alias("key"))), F.xxhash64(docs["doc_id"]))
-    kept = docs.where(~maybe).union(docs.where(maybe).join(gone, docs["doc_id"] == gone["gone"], "left_anti"))
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    groups = stored(ngram_join.jaccard_join(docs.select(key.alias("doc_id"), docs["text"])).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id"), "groups")
+    named = groups.distinct().join(docs.select(key.alias("key"), docs["doc_id"].cast("long").alias("id")).distinct(), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).getField("key").alias("key"))
+    gone = stored(named.join(first.select("key"), "key", "left_anti").select("key").distinct(), "gone")
+    twice = stored(groups.groupBy("key").count().where("count > 1").select("key").join(gone, "key", "left_anti"), "twice")
+    out = without(docs, key, gone)
+    if not twice.limit(1).count():
+        return out
+    marked = twice.withColumnRenamed("key", "again")
+    some = docs.select(key.alias("again"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(marked, "again").groupBy("again").agg(F.first("row").alias("row"))
+    return without(out, F.xxhash64(out["doc_id"], out["text"]), twice).union(some.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+
+
+def without(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """docs but for rows whose key is among keys(key)."""
+    maybe = ngram_join.in_bitmap(ngram_join.bitmap(keys), key)
+    named = keys.select(F.col("key").alias("gone_key"))
+    return docs.where(~maybe).union(docs.where(maybe).join(named, key == named["gone_key"], "left_anti"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
