@@ -139,22 +139,32 @@ def first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.col("doc_id").alias("page_id"), F.filter("attrs", lambda a: a["name"] == "href")[0]["value"].alias("href"))
 
 
-@registered(BLANKED + " SELECT page_id FROM b WHERE regexp_matches(h, '&(amp|lt|gt|quot)([^;]|$)')")
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, every second one with &amp for &amp; so that there are errors to find."""
+    return pages(spark, sf_dir).withColumn("html", F.when(F.col("doc_id") % 2 == 0, F.replace("html", F.lit("&amp;"), F.lit("&amp "))).otherwise(F.col("html")))
+
+
+#: How many references without a semicolon each damaged page has outside scripts, styles and comments.
+LOST = BLANKED + ", e AS (SELECT page_id, len(regexp_extract_all(regexp_replace(h, '<!--.*?-->', '', 'gs'), '&amp;'))::BIGINT AS n FROM b WHERE page_id % 2 = 0)"
+
+
+@registered(LOST + " SELECT page_id FROM e WHERE n > 0")
 def missing_semicolon_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pages(spark, sf_dir)
+    docs = damaged(spark, sf_dir)
     found = relational.with_error(docs, parse_errors(docs, driven=True), "missing-semicolon-after-character-reference")
     return found.select(F.col("doc_id").alias("page_id"))
 
 
-@registered()
+@registered(LOST + " SELECT 'missing-semicolon-after-character-reference' AS code, sum(n)::BIGINT AS n FROM e HAVING sum(n) > 0")
 def parse_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the pure tokenizer, which takes scripts for markup."""
-    return parse_errors(pages(spark, sf_dir)).groupBy("state", "code").agg(F.count("*").alias("n"))
+    """Errors of damaged pages by code."""
+    return parse_errors(damaged(spark, sf_dir), driven=True).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@registered()
+@registered(LOST + " SELECT page_id, unnest(range(0, least(n, 100)))::INTEGER AS err_ord, 'missing-semicolon-after-character-reference' AS code FROM e")
 def first_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.first_errors(parse_errors(pages(spark, sf_dir))).withColumnRenamed("doc_id", "page_id")
+    """The first hundred errors of each damaged page."""
+    return relational.first_errors(parse_errors(damaged(spark, sf_dir), driven=True)).select(F.col("doc_id").alias("page_id"), "err_ord", "code")
 
 
 @registered()

@@ -26,7 +26,7 @@ def rows(frame):
 def test_query(name, spark, sql):
     got = catalog.QUERIES[name](spark, SF).toPandas()
     if name not in catalog.ORACLES:
-        assert len(got.columns) > 1 and (len(got) or "error" in name)
+        assert len(got.columns) > 1 and len(got)
         return
     want = sql.execute(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
