@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import escape_attribute, escape_html, map_code_point, named_reference, naive_strip_script, preprocess, visible
 from ..operators import relational
 from ..operators.lex import build_tree, decode_references, doctypes, lex_column, lexed, parse_errors, tokenize, trace_runs
+from ..operators.native import native_differential
 from ..operators.sanitize import mutation_check, parse_in_contexts, sanitize
 from ..operators.states import VOID
 from ..sources.documents import pages
@@ -220,6 +221,12 @@ def pure_differs_from_driven(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(flat(False) != flat(True)).select(F.col("doc_id").alias("page_id"))
 
 
+@registered("SELECT page_id, true AS regular, true AS agrees FROM pages")
+def native_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that native patterns can tokenize, and whether the kernel gives the same tokens."""
+    return native_differential(pages(spark, sf_dir)).withColumnRenamed("doc_id", "page_id")
+
+
 @registered("SELECT url, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, replace(replace(url, '&', '&amp;'), '\"', '&quot;') AS attribute, replace(url, chr(10), '\\n') AS shown FROM pages")
 def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import preprocess
 from pagemill.operators import relational
 from pagemill.operators.lex import build_tree, end_states, explode_chars, parse_errors, register_sql, state_trace, tokenize
+from pagemill.operators.native import native_differential
 from pagemill.operators.sanitize import Policy, mutation_check, sanitize
+from pagemill.plans import fixtures
 from pagemill.sources.documents import from_strings, pages, read_documents, spread, write_table
 from pagemill.sources.samples import SAMPLES
 from pagemill.streaming import documents as streaming
@@ -124,3 +126,13 @@ def test_stream_equals_batch(spark, tmp_path):
     seen = []
     streaming.each_batch(streaming.read_stream(spark, f"{tmp_path}/in"), lambda b, i: seen.append(sanitize(b).count()), f"{tmp_path}/c2").awaitTermination()
     assert sum(seen) == len(SAMPLES)
+
+
+def test_native_tokens_agree_with_the_kernel_wherever_they_apply(spark):
+    """On every golden document, and on regular ones that come close to odd."""
+    own = ["<title>a &amp; b</title><textarea>c</textarea>", "<title>a</b></title>", "<script>&lt;<b>", "<p class=\"a\" id=\"b&amp;c\" hidden>x &lt; y &middot; z</p><br/><hr />", "<!DOCTYPE html><style>p>q{}</style><script>if (a<b) '&amp;'</script><!-- c -->", "<a href=\"?a=1&amp;b\">" + "w " * 20000 + "</a><!--" + "c " * 20000 + "-->"]
+    golden = [h for table in (fixtures.TEXT, fixtures.TAGS, fixtures.DECLARATIONS, fixtures.SANITIZED, fixtures.ERRORS) for h, _ in table.values()] + [h for _, h, _ in fixtures.TREES.values()]
+    rows = native_differential(spark.createDataFrame(list(enumerate(own + golden)), "doc_id int, html string")).collect()
+    assert len(rows) == len(own + golden) and not [r["doc_id"] for r in rows if r["agrees"] is False]
+    regular = {r["doc_id"] for r in rows if r["regular"]}
+    assert {0, 3, 4, 5} <= regular and not {1, 2} & regular and len(regular) >= 10
