@@ -293,7 +293,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD) -> Data
     dimensions don't. A null vec_id is never a component's id unless all in it are null. An
     empty table gives no rows. Found links are exact; a pair is missed only if it lies across
     a list's border by more than the reach, which covers RECALL of the links measured. Dimensions
-    are searched one after another, all small ones in one pass.
+    are searched one after another, all small ones in one pass. A vector that is equally near to
+    several centroids lies in the first one's list.
     """
     spark = vectors.sparkSession
     kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
