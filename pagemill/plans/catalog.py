@@ -178,9 +178,19 @@ def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.coalesce_runs(tokenize(pages(spark, sf_dir)), order="tok", value="kind").withColumnRenamed("doc_id", "page_id")
 
 
-@registered()
+@registered(
+    BLANKED
+    + """, t AS (SELECT page_id, list_append(regexp_extract_all(h, '<!--.*?-->|<!DOCTYPE[^>]*>|</?[a-z][^>]*>', 0, 's'), 'EOF') AS t FROM b),
+    u AS (SELECT page_id, unnest(range(1, len(t) + 1)) AS place, unnest(t) AS t FROM t)
+    SELECT page_id, place::INTEGER AS place, CASE WHEN t = 'EOF' OR t LIKE '<!--%' THEN t WHEN t LIKE '<!%' THEN 'DOCTYPE' WHEN t LIKE '</%' THEN regexp_extract(t, '</[a-z0-9]+') || '>'
+      ELSE regexp_extract(t, '<[a-z0-9]+') || CASE WHEN t LIKE '%/>' THEN '/>' ELSE '>' END END AS label FROM u"""
+)
 def token_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.shape(tokenize(pages(spark, sf_dir), driven=True)).withColumnRenamed("doc_id", "page_id")
+    """The labels of each page's tokens in order, without characters."""
+    others = F.filter("x.tokens", lambda t: t["kind"] != "Character")
+    numbered = lexed(pages(spark, sf_dir), driven=True).select("doc_id", F.posexplode(others).alias("place", "t"))
+    shapes = relational.shape(numbered.select("doc_id", F.col("t").withField("tok", F.col("place") + 1).alias("t")).select("doc_id", "t.*"))
+    return shapes.select(F.col("doc_id").alias("page_id"), F.col("tok").alias("place"), "label")
 
 
 @registered()
