@@ -90,7 +90,8 @@ def write_archives(records: DataFrame, path: str | None = None, *, archive_size:
 
     Each task streams its rows into files named after itself and the attempt, and Spark's own
     commit of the list of files decides which attempt counts. An archive is one buffer of
-    about archive_size in memory. No rows give no archive.
+    about archive_size in memory, or of one record where that is longer. No rows give no archive.
+    The folder's URI must be of a file system that pyarrow knows (local, HDFS, S3, GCS).
     """
     spark = records.sparkSession
     path = path or new_path(spark, "warc")
