@@ -24,12 +24,18 @@ def text_of(nodes: Column, parents: Callable[[Column], Column], inside: bool = T
 
 
 def node_at(nodes: Column, *path: int) -> Column:
-    """The node at a path of child positions from the root, out of a document's nodes; null if there is none."""
-    at = F.get(F.filter(nodes, lambda n: n["parent"].isNull()), F.lit(0))
-    for sib in path:
-        up = at
-        at = F.get(F.filter(nodes, lambda n: (n["parent"] == up["node"]) & (n["sib"] == sib)), F.lit(0))
-    return at
+    """The node at a path of child positions from the root, out of a document's nodes; null if there is none.
+
+    One pass: children stand behind their parent, so each node is held against the next step only.
+    """
+    steps = F.array(F.lit(0), *[F.lit(sib) for sib in path])
+    begin = F.struct(F.lit(0).alias("level"), F.get(nodes, F.lit(-1)).alias("node"))
+
+    def step(at: Column, n: Column) -> Column:
+        here = n["parent"].eqNullSafe(at["node"]["node"]) & (n["sib"] == F.get(steps, at["level"]))
+        return F.when(here, F.struct((at["level"] + 1).alias("level"), n.alias("node"))).otherwise(at)
+
+    return F.aggregate(nodes, begin, step, lambda at: F.when(at["level"] == len(path) + 1, at["node"]))
 
 
 def shape(tokens: DataFrame) -> DataFrame:

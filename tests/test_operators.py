@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import preprocess
 from pagemill.operators import relational
-from pagemill.operators.lex import build_tree, end_states, explode_chars, parse_errors, register_sql, state_trace, tokenize
+from pagemill.operators.lex import build_tree, end_states, explode_chars, lexed, parse_errors, register_sql, state_trace, tokenize
 from pagemill.operators.native import native_differential
 from pagemill.operators.sanitize import Policy, mutation_check, sanitize
 from pagemill.plans import fixtures
@@ -136,3 +136,25 @@ def test_native_tokens_agree_with_the_kernel_wherever_they_apply(spark):
     assert len(rows) == len(own + golden) and not [r["doc_id"] for r in rows if r["agrees"] is False]
     regular = {r["doc_id"] for r in rows if r["regular"]}
     assert {0, 3, 4, 5} <= regular and not {1, 2} & regular and len(regular) >= 10
+
+
+@pytest.fixture
+def limited(spark):
+    """Ends what takes more than a minute: work that grows with the square of a page's nodes or tags, or faster."""
+    import threading
+
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    yield
+    timer.cancel()
+
+
+def test_paths_of_a_large_page(spark, limited):
+    """Paths against joins on the node table, and a page of 4000 paragraphs."""
+    small = from_strings(spark, ["<a><b>x<i>y</i></b><u><p>1</p>t<p>2</p></u></a>", "<a></a><a><b>", "", "x"])
+    nodes = build_tree(small)
+    for path in [(), (0, 0, 1), (0, 1, 2), (1, 0, 0)]:
+        got = lexed(small, want=("nodes",)).select("doc_id", relational.node_at(F.col("x.nodes"), *path)["node"].alias("node")).where("node IS NOT NULL")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, relational.child_at(nodes, *path).select("doc_id", "node").collect()))
+    large = from_strings(spark, ["<html><body>" + "<p>x</p>" * 4000 + "<h1>y</h1>"])
+    assert lexed(large, want=("nodes",)).select(relational.node_at(F.col("x.nodes"), 0, 0, 4000)["tag"].alias("tag")).first()["tag"] == "h1"
