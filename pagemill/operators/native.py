@@ -1,12 +1,14 @@
 """Tokens of regular pages by native expressions alone, and a differential against the kernel.
 
 A page is regular if simple patterns cover all of it: lower-case tags with double-quoted or bare
-attributes, closed comments, plain doctypes, script and style bodies, a few references. What is
+attributes, closed comments, plain doctypes, script and style bodies, named references. What is
 regular needs no machine; the kernel stays the measure, and every other page goes there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from ..functions.charref import NAMED
 from ..functions.text import preprocess
 from .lex import lex_column
 
-#: Named references with their semicolon, the ampersand last; others stay as they are, here as in the kernel.
-REFERENCES = {f"&{k}": v for k, v in sorted(NAMED.items(), key=lambda kv: kv[0] == "amp;") if k.endswith(";")}
+#: Named references with their semicolon, and those that work without it too, the ampersand last; others stay as they are, here as in the kernel.
+REFERENCES = {f"&{k}": v for k, v in NAMED.items() if k.endswith(";") and k[:-1] not in NAMED}
+BARE = {f"&{k}": v for k, v in sorted(NAMED.items(), key=lambda kv: kv[0] == "amp") if not k.endswith(";")}
 RAW = ("script", "style")
 ATTRIBUTE, NAME_AND_VALUE = r' [a-z][a-z0-9-]*(?:="[^"\x00]*")?', r' ([a-z][a-z0-9-]*)(?:="([^"\x00]*)")?'
 #: Repeats are bounded or of single characters, which Java's matcher takes without recursion.
@@ -30,26 +33,37 @@ PIECES = "|".join(
     ]
 )
 START = rf"^<([a-z][a-z0-9]*)((?:{ATTRIBUTE}){{0,200}})"
-#: Elements whose text the patterns don't follow, numeric references and those without a semicolon, a tag with the same attribute twice.
+#: Elements whose text the patterns don't follow, numeric references, a tag with the same attribute twice.
 ODD = "|".join(
     [
         r"<(?:xmp|iframe|noembed|noframes|noscript|plaintext)[ >/]|<(?:title|textarea|script|style)[ /]",
         r"<(title|textarea)>(?![^<]*</\1>)|<(script|style)>(?!</\2>)",
-        r"&(?:#|(?:lt|gt|quot|amp)(?!;))",
+        r"&#",
         r"<[a-z][^>]* ([a-z0-9-]+)(?:=\"[^\"]*\")?(?: [^>]*)? \3[ =/>]",
     ]
 )
 
 
-def decoded(text: Column) -> Column:
+def decoded(text: Column, in_attribute: bool = False) -> Column:
+    """References as characters; in a value, a name without its semicolon is none before a letter, a digit or =."""
     for name, char in REFERENCES.items():
         text = F.replace(text, F.lit(name), F.lit(char))
+    for name, char in BARE.items():
+        text = F.regexp_replace(text, f"{name};|{name}(?![a-zA-Z0-9=])" if in_attribute else f"{name};?", char)
     return text
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: a lambda's variable, where the expression itself would be worked out anew for each element of the lambdas in f."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def pieces(html: Column) -> Column:
     """The tags, comments, doctypes and texts of preprocessed html in order; null if the page isn't regular."""
-    found = F.regexp_extract_all(html, F.lit(PIECES), F.lit(0))
+    return let(F.regexp_extract_all(html, F.lit(PIECES), F.lit(0)), lambda found: _covering(html, found))
+
+
+def _covering(html: Column, found: Column) -> Column:
     outside = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)>.*?</\1>", "<$1></$1>"), r"(?s)<!--.*?-->", "")
     odd_comment = F.exists(found, lambda p: p.startswith("<!--") & F.substring(p, F.lit(5), F.length(p) - 7).rlike("--|<!|-$"))
     return F.when((F.array_join(found, "") == html) & ~outside.rlike(ODD) & ~odd_comment, found)
@@ -61,7 +75,7 @@ def native_tokens(html: Column) -> Column:
     def token(p: Column, before: Column) -> Column:
         names = F.regexp_extract_all(F.regexp_extract(p, START, 2), F.lit(NAME_AND_VALUE), F.lit(1))
         values = F.regexp_extract_all(F.regexp_extract(p, START, 2), F.lit(NAME_AND_VALUE), F.lit(2))
-        attrs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), F.coalesce(decoded(v), F.lit("")).alias("value")))
+        attrs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), F.coalesce(decoded(v, True), F.lit("")).alias("value")))
         raw = before.isin(*[f"<{t}>" for t in RAW])
         none = F.lit(None).cast("array<struct<name:string,value:string>>")
         start, end = p.rlike("^<[a-z]") & ~raw, p.rlike("^</[a-z]") & ~raw
@@ -71,8 +85,7 @@ def native_tokens(html: Column) -> Column:
         data = F.when(comment, F.substring(p, F.lit(5), F.length(p) - 7)).when(~(start | end | doctype), F.when(raw, p).otherwise(decoded(p)))
         return F.struct(kind.alias("kind"), tag.alias("tag"), (start & p.endswith("/>")).alias("self_closing"), F.when(start, attrs).otherwise(none).alias("attrs"), data.alias("data"))
 
-    found = pieces(html)
-    return F.transform(found, lambda p, i: token(p, F.coalesce(F.get(found, i - 1), F.lit(""))))
+    return let(pieces(html), lambda found: F.transform(found, lambda p, i: token(p, F.coalesce(F.get(found, i - 1), F.lit("")))))
 
 
 def stream(tokens: Column, doctype: str = "tag") -> Column:

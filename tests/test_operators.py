@@ -158,3 +158,11 @@ def test_paths_of_a_large_page(spark, limited):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, relational.child_at(nodes, *path).select("doc_id", "node").collect()))
     large = from_strings(spark, ["<html><body>" + "<p>x</p>" * 4000 + "<h1>y</h1>"])
     assert lexed(large, want=("nodes",)).select(relational.node_at(F.col("x.nodes"), 0, 0, 4000)["tag"].alias("tag")).first()["tag"] == "h1"
+
+
+def test_native_tokens_of_a_large_page_and_of_references_without_semicolon(spark, limited):
+    bare = ["<title>a&amp</title><p>&lt&gt;&quot&amp;lt&ampx&ltgt;&amplt;&amp=&copy&am &</p>", '<a b="&amp&lt=&gtx&quot;&quot &copy;&ampamp;" c="&amp"></a>']
+    large = "<html><body>" + '<p class="a&amp;b">x &lt; y</p>' * 4000 + "</body></html>"
+    rows = native_differential(spark.createDataFrame(list(enumerate([*bare, large])), "doc_id int, html string")).collect()
+    assert len(rows) == 3 and all(r["regular"] and r["agrees"] for r in rows)
+    assert not native_differential(from_strings(spark, ["<p>&#65;</p>"])).first()["regular"]
