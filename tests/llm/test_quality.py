@@ -88,3 +88,24 @@ def test_one_labelled_id_on_many_rows(frame, spark):
     labels = spark.createDataFrame([(1, 1), (1, 1)], "doc_id long, quality int")
     rows = quality.quality_rows(frame([(1, t) for t in texts] + [(1, "#$%& " * 90 + " ".join(f"@{k}|<>" for k in range(200)))]), labels, labelled=100).collect()
     assert len(rows) == 601 and sum(r["kept"] for r in rows) >= 590
+
+
+def test_all_labelled_rows_count(frame, spark):
+    """More than 4000 labels: no row that is labelled good and passes the base rules is rejected, however odd, though plain rows are labelled poor."""
+    rng = np.random.default_rng(5)
+    words = lambda: [f"w{k}" for k in rng.integers(0, 400, 60)]
+    texts = [" ".join(words()) for _ in range(1000)] + [" ".join(words() + ["#$" * k, "Q" * 5 * k, "7" * 3 * (60 - k)]) for k in range(60)]
+    rows = quality.quality_rows(frame(list(enumerate(texts))), spark.createDataFrame([(i, int(i >= 20)) for i in range(len(texts) + 20000)], "doc_id long, quality int")).collect()
+    assert not [r["doc_id"] for r in rows if r["doc_id"] >= 20 and not r["kept"] and not r["base_failed"]]
+
+
+def test_forest_of_parts_and_smallest(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 3))
+    low, high = x.min(0), x.max(0)
+    whole, parts = quality.Forest(x, low, high), quality.Forest(x[:0], low, high)
+    parts.hold(sum(parts.masses(p) for p in np.array_split(x, 7)))
+    assert (whole.feature == parts.feature).all() and (whole.path == parts.path).all() and whole.scale == parts.scale
+    y = np.concatenate([rng.random(5000) ** 9, np.full(4000, 0.25)])
+    df = spark.createDataFrame([(float(v),) for v in y], "x double")
+    assert [quality.smallest(df, k) for k in (0, 50, 7000, 8999)] == [float(np.sort(y)[k]) for k in (0, 50, 7000, 8999)]
