@@ -9,20 +9,25 @@ the corpus. Contexts are hashes of 40 bits, words of 64.
 2. Dealt by word to buckets, counts of all chunks meet. A cell is a dish of one restaurant; all
    cells of a word and its place in the parent lie in one bucket, its restaurants' totals don't.
 3. Sweeps of Gibbs sampling. Before each, totals of all restaurants are added up over all buckets.
-   A sweep visits each cell VISITS times: a customer picked at random leaves, which may close its
-   table, and sits down again, at a table by its size or at a new one by what the parent gives.
-   Cells with one customer can't change. After burn-in each sweep is a sample.
+   In a sweep every customer of every cell leaves once, which may close its table, and sits down
+   again, at a table by its size or at a new one by what the parent gives; then so does every
+   customer of the parent, those of cells with one customer (which can't change) included. A
+   word's cells and its place in the parent follow each other's changes at once. After burn-in
+   each sweep is a sample.
 4. Each chunk gets what its words and pairs need to know of every sample, meets its documents
    again, averages the samples' probabilities and adds up.
 
-All random numbers are hashes of word, context and visit, and sums are of whole numbers, so
-scores don't depend on how words and texts are dealt out.
+Random numbers are hashes of word and context, or come from a generator that each word has in each
+sweep, and sums are of whole numbers, so scores don't depend on how words and texts are dealt out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import random
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, pick, rows_of, small_batches, stored, trim, trimmed, trimmed_group, trimmed_pair
 
-#: Sweeps before the first sample, samples, visits of a cell in a sweep.
-BURN_IN, SAMPLES, VISITS = 1, 2, 4
-#: Discount and strength of the words' restaurants and of their parent. Discounts are multiples of 1/4, so sums of table sizes less discounts are exact.
+#: Sweeps before the first sample, samples.
+BURN_IN, SAMPLES = 1, 2
+#: Cells of more customers keep the sizes of their tables.
+LARGE = 256
+#: Discount and strength of the words' restaurants and of their parent. The parent's discount is 1/2, for which the law of its tables has a closed form.
 DISCOUNT, STRENGTH = (0.75, 0.5), (1.0, 1.0)
 #: A chunk holds the documents of about so many bytes of a file, a bucket the words of about so many bytes of the table.
 CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 5 << 20, 8
@@ -204,7 +211,10 @@ def uniform(seeds: np.ndarray, draw: int) -> np.ndarray:
 
 
 class Tables:
-    """Tables of some cells: cell and size of each, in order of cells; customers and tables of each cell."""
+    """Tables of some cells: cell and size of each, in order of cells; customers and tables of each cell.
+
+    Moves of single customers in many cells at once. Sweeps, which move every customer, don't use it any more; its test is kept.
+    """
 
     def __init__(self, cell: np.ndarray, size: np.ndarray, cells: int, discount: float):
         self.cell, self.size, self.discount = cell.astype(np.int64), size.astype(np.int64), discount
@@ -257,6 +267,129 @@ class Tables:
         self.c[who], self.t[who] = part.c, part.t
 
 
+@lru_cache(maxsize=1)
+def alone(d: float) -> list[list[float]]:
+    """[c][t]: how likely one of c customers at t tables has a table of its own, from generalized Stirling numbers of discount d, for c up to LARGE."""
+    out, logs = [[], [0.0, 1.0]], np.array([-np.inf, 0.0])
+    with np.errstate(divide="ignore"):
+        for c in range(2, LARGE + 1):
+            opened = np.append(-np.inf, logs)
+            logs = np.logaddexp(opened, np.append(logs + np.log(c - 1 - d * np.arange(c)), -np.inf))
+            out.append([0.0, *np.exp(opened[1:] - logs[1:]).tolist()])
+    return out
+
+
+class Place:
+    """A word's place in the parent, c customers at t tables, and the word's probability p there.
+
+    How likely a customer that leaves closes its table has a closed form for the discount 1/2.
+    """
+
+    __slots__ = ("c", "t", "p", "new", "customers", "tables", "base", "draw")
+
+    def __init__(self, c: int, t: int, customers: int, tables: int, vocabulary: int, draw: Callable[[], float]):
+        """customers, tables: those of all other words."""
+        self.c, self.t, self.customers, self.tables, self.base, self.draw = c, t, customers, tables, 1 / (vocabulary + 1), draw
+        self.told()
+
+    def told(self) -> None:
+        self.new = (STRENGTH[1] + DISCOUNT[1] * (self.tables + self.t)) * self.base
+        self.p = (self.c - DISCOUNT[1] * self.t + self.new) / (STRENGTH[1] + self.customers + self.c)
+
+    def leave(self) -> None:
+        """A table below has closed."""
+        if self.c == 1 or (self.t > 1 and self.draw() * (2 * self.c - self.t - 1) < self.t - 1):
+            self.t -= 1
+        self.c -= 1
+        self.told()
+
+    def enter(self) -> None:
+        """A table below has opened."""
+        if self.draw() * (self.c - DISCOUNT[1] * self.t + self.new) < self.new:
+            self.t += 1
+        self.c += 1
+        self.told()
+
+
+def moved(c: int, t: int, s: float, d: float, place: Place, draw: Callable[[], float]) -> int:
+    """Tables of a cell of c customers after each has left and sat down again, once; s: its restaurant's strength without the cell's own tables.
+
+    Sizes of tables depend on nothing but c and t, so they are left open.
+    """
+    ends, new = alone(d)[c], (s + d * t) * place.p
+    for _ in range(c):
+        if t > 1 and draw() < ends[t]:
+            t -= 1
+            place.leave()
+            new = (s + d * t) * place.p
+        if draw() * (c - 1 - d * t + new) < new:
+            t += 1
+            place.enter()
+            new = (s + d * t) * place.p
+    return t
+
+
+def turned(sizes: list[int], s: float, d: float, place: Place, draw: Callable[[], float]) -> list[int]:
+    """moved() for a cell of any number of customers: sizes of its tables after each customer, in random order, has left and sat down again.
+
+    A table is chosen as that of another customer picked at random, kept by its size less the
+    discount, so a move's time doesn't grow with the tables.
+    """
+    seat, free, sizes = array("I"), [], list(sizes)
+    for k, size in enumerate(sizes):
+        seat += array("I", [k]) * size
+    others, t = len(seat) - 1, len(sizes)
+    new = (s + d * t) * place.p
+    for i in range(others + 1):
+        j = i + int(draw() * (others + 1 - i))
+        k, seat[j] = seat[j], seat[i]
+        sizes[k] -= 1
+        if not sizes[k]:
+            t -= 1
+            free.append(k)
+            place.leave()
+            new = (s + d * t) * place.p
+        if not t or draw() * (others - d * t + new) < new:
+            t += 1
+            place.enter()
+            new = (s + d * t) * place.p
+            if free:
+                k = free.pop()
+            else:
+                k = len(sizes)
+                sizes.append(0)
+        else:
+            while True:
+                j = int(draw() * others)
+                k = seat[j + (j >= i)]
+                if draw() * sizes[k] >= d:
+                    break
+        seat[i] = k
+        sizes[k] += 1
+    return [size for size in sizes if size]
+
+
+def parent_tables(c: np.ndarray, tables: np.ndarray, vocabulary: int, seeds: np.ndarray) -> np.ndarray:
+    """Tables of words' places in the parent, all c customers of a word seated anew at once; tables: those of all other words.
+
+    The chance of t + 1 tables is that of t times the weight of a new one and 4 (c - t) / (t (2 c - t - 1)),
+    a ratio of generalized Stirling numbers of discount 1/2. It falls with t, so what is left out
+    is below 1e-17 of all.
+    """
+    out, t = np.minimum(c, 1), 1
+    log, total, who = np.zeros(len(c)), np.zeros(len(c)), np.flatnonzero(c > 1)
+    while len(who):
+        n = c[who]
+        ratio = (STRENGTH[1] + DISCOUNT[1] * (tables[who] + t)) / (vocabulary + 1) * 4 * (n - t) / (t * (2 * n - t - 1))
+        log[who] += np.log(ratio)
+        total[who] = np.logaddexp(total[who], log[who])
+        share = log[who] - total[who]
+        t += 1
+        out[who[uniform(seeds[who], t) < np.exp(share)]] = t
+        who = who[(n > t) & ((ratio >= 1) | (share > -40))]
+    return out
+
+
 class Seating:
     """The cells of one bucket with more than one customer, and its words' places in the parent."""
 
@@ -268,9 +401,10 @@ class Seating:
         self.vocabulary, self.all_customers, self.all_tables = vocabulary, root_customers, root_tables
         self.word_seed = mixed(self.names)
         self.cell_seed = mixed(self.word_seed[self.word] ^ mixed(self.contexts[self.context] + np.uint64(1)))
+        self.large = self.count > LARGE
         if m["tables"] is not None:
-            self.cells = Tables(get("tables", np.uint32), get("sizes", np.uint32), len(self.count), DISCOUNT[0])
-            self.root = Tables(get("root_tables", np.uint32), get("root_sizes", np.uint32), len(self.names), DISCOUNT[1])
+            self.t, self.c0, self.t0 = (get(k, np.uint32).astype(np.int64) for k in ("tables", "root_sizes", "root_tables"))
+            self.sizes = get("sizes", np.uint32).astype(np.int64)
 
     def weights(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
         """The parent's probability of each word."""
@@ -282,47 +416,46 @@ class Seating:
         c0 = self.single + np.bincount(self.word, minlength=len(self.names))
         a = (STRENGTH[0] + DISCOUNT[0] * tables[self.context]) * self.weights(c0, np.minimum(c0, 1))[self.word]
         t = 1 + np.floor(a * np.log1p((self.count - 1) / (a + 1 - DISCOUNT[0])) + uniform(self.cell_seed, 0)).astype(np.int64)
-        t = np.minimum(t, self.count)
-        cell = np.repeat(np.arange(len(t)), t)
-        size = np.ones(len(cell), np.int64)
-        size[np.cumsum(t) - t] += self.count - t
-        self.cells = Tables(cell, size, len(t), DISCOUNT[0])
-        c0 = self.single + np.bincount(self.word, t, len(self.names)).astype(np.int64)
-        seen = np.flatnonzero(c0)
-        self.root = Tables(seen, c0[seen], len(self.names), DISCOUNT[1])
+        self.t = np.minimum(t, self.count)
+        t = self.t[self.large]
+        self.sizes = np.ones(t.sum(), np.int64)
+        self.sizes[np.cumsum(t) - t] += self.count[self.large] - t
+        self.c0 = self.single + np.bincount(self.word, self.t, len(self.names)).astype(np.int64)
+        self.t0 = np.minimum(self.c0, 1)
 
     def sweep(self, tables: np.ndarray, number: int) -> None:
-        """VISITS visits of every cell; tables: those of each restaurant in all buckets."""
-        strength = STRENGTH[0] + DISCOUNT[0] * tables[self.context]
-        every, many = np.arange(len(self.count)), 1 + number * VISITS
-        for visit in range(many, many + VISITS):
-            new = strength * self.weights(self.root.c, self.root.t)[self.word]
-            closed = self.cells.leave(every, uniform(self.cell_seed, 2 * visit))
-            opened = self.cells.enter(every, uniform(self.cell_seed, 2 * visit + 1), new)
-            self.follow(np.bincount(self.word, opened.astype(np.int64) - closed, len(self.names)).astype(np.int64), visit)
-
-    def follow(self, change: np.ndarray, visit: int) -> None:
-        """The parent's customers: as many come or go as tables opened or closed below, and one of each word moves."""
-        new = (STRENGTH[1] + DISCOUNT[1] * self.all_tables) / (self.vocabulary + 1)
-        seed = mixed(self.word_seed + np.uint64(visit))
-        some = np.flatnonzero(change)
-        if len(some):
-            left, part, draw = change[some], self.root.part(some), 2
-            while len(who := np.flatnonzero(left)):
-                for mine, step in ((who[left[who] < 0], part.leave), (who[left[who] > 0], lambda w, r: part.enter(w, r, np.full(len(w), new)))):
-                    if len(mine):
-                        step(mine, uniform(seed[some[mine]], draw))
-                left -= np.sign(left)
-                draw += 1
-            self.root.put(some, part)
-        who = np.flatnonzero(self.root.c > 1)
-        if len(who):
-            self.root.leave(who, uniform(seed[who], 0))
-            self.root.enter(who, uniform(seed[who], 1), np.full(len(who), new))
+        """Every customer of every cell, and of the words' places in the parent, leaves once and sits down again; tables: those of each restaurant in all buckets."""
+        (d, _), (s, _), words = DISCOUNT, STRENGTH, len(self.names)
+        if number:
+            own, c0, t0 = self.t, self.c0, self.t0
+        else:  # totals are those before the first seating
+            own = np.ones(len(self.count), np.int64)
+            c0 = self.single + np.bincount(self.word, minlength=words)
+            t0 = np.minimum(c0, 1)
+        strength, customers, places = (s + d * (tables[self.context] - own)).tolist(), (self.all_customers - c0).tolist(), self.all_tables - t0
+        seeds, word_at = mixed(self.word_seed + np.uint64(number + 1)), np.searchsorted(self.word, np.arange(words + 1)).tolist()
+        count, t, c0, t0 = self.count.tolist(), self.t.tolist(), self.c0.tolist(), self.t0.tolist()
+        sizes, at = array("q"), 0
+        draws = random.Random()
+        draw = draws.random
+        for w in np.unique(self.word).tolist():
+            draws.seed(int(seeds[w]))
+            place = Place(c0[w], t0[w], customers[w], int(places[w]), self.vocabulary, draw)
+            for i in range(word_at[w], word_at[w + 1]):
+                if count[i] <= LARGE:
+                    t[i] = moved(count[i], t[i], strength[i], d, place, draw)
+                else:
+                    after = turned(self.sizes[at : at + t[i]].tolist(), strength[i], d, place, draw)
+                    at += t[i]
+                    t[i] = len(after)
+                    sizes.extend(after)
+            c0[w] = place.c
+        self.t, self.c0, self.sizes = np.array(t, np.int64), np.array(c0, np.int64), np.array(sizes, np.int64)
+        self.t0 = parent_tables(self.c0, places, self.vocabulary, mixed(seeds))
 
     def state(self) -> dict[str, np.ndarray]:
         small = lambda x: x.astype(np.uint32)
-        return {"tables": small(self.cells.cell), "sizes": small(self.cells.size), "root_tables": small(self.root.cell), "root_sizes": small(self.root.size)}
+        return {"tables": small(self.t), "sizes": small(self.sizes), "root_tables": small(self.t0), "root_sizes": small(self.c0)}
 
 
 def answered(rows: list[dict], contexts: np.ndarray, n: int) -> np.ndarray:
@@ -348,12 +481,12 @@ def swept(left: pa.Table, right: pa.Table, n: int, number: int, sums: tuple[int,
         tables = first + total
     s.sweep(tables, number)
     bucket, sample = m["bucket"], number - BURN_IN
-    out = [row("sums", bucket, n=np.array([s.root.c.sum(), s.root.t.sum()], np.int64))]
+    out = [row("sums", bucket, n=np.array([s.c0.sum(), s.t0.sum()], np.int64))]
     if sample + 1 < SAMPLES:
         out.append({**m, **row("seats", bucket, t=first, **s.state())})
-    out += messages(bucket, s.contexts, np.bincount(s.context, s.cells.t - 1, len(s.contexts)).astype(np.int64), n, np.ones(len(s.contexts), bool))
+    out += messages(bucket, s.contexts, np.bincount(s.context, s.t - 1, len(s.contexts)).astype(np.int64), n, np.ones(len(s.contexts), bool))
     if sample >= 0:
-        out.append(row("sample", bucket, sample, tables=s.cells.t.astype(np.uint32), root_tables=s.root.t.astype(np.uint32), root_sizes=s.root.c.astype(np.uint32)))
+        out.append(row("sample", bucket, sample, **{k: v for k, v in s.state().items() if k != "sizes"}))
     return pa.Table.from_pylist(out, SCHEMA)
 
 

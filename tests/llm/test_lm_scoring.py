@@ -1,8 +1,10 @@
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagemill.llm import lm_scoring as L
@@ -181,3 +183,85 @@ def test_edges(frame):
     none = L.score_documents(docs, F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and abs(r["score"]) < 1e-6 for r in none)
     assert L.score_documents(docs.limit(0), F.lit(False)).count() == 0
+
+
+def law_of_tables(c, d, weight):
+    """Chances of 1 to c tables of c customers, weight(t) being that of a new table beside t others; from generalized Stirling numbers."""
+    logs = np.array([-np.inf, 0.0])
+    with np.errstate(divide="ignore"):
+        for n in range(1, c):
+            logs = np.logaddexp(np.append(-np.inf, logs), np.append(logs + np.log(n - d * np.arange(n + 1)), -np.inf))
+    logs = logs[1:] + np.cumsum([math.log(weight(k)) for k in range(c)])
+    p = np.exp(logs - logs.max())
+    return p / p.sum()
+
+
+def test_a_sweep_moves_every_customer():
+    """One sweep takes cells, small and large, from a first seating far off to about the tables that their customers would have."""
+    for c in (200, 1500):
+        cells, tables, p = 40, 4000, 0.02
+        contexts = np.arange(cells, dtype=np.uint64) * np.uint64(977)
+        of = lambda x: np.full(cells, x, np.uint32)
+        seats = L.row("seats", 0, keys=np.array([7], np.uint64), single=np.array([200_000], np.uint32), word=of(0), context=np.arange(cells, dtype=np.uint32), contexts=L.packed(contexts), count=of(c))
+        table = lambda r: pa.Table.from_pylist([r], L.SCHEMA)
+        out = L.swept(table(seats), table(L.row("answer", 0, 0, t=of(tables))), 1, 0, (100_000, 10_000_000, 100_000)).to_pylist()
+        (message,) = [r for r in out if r["kind"] == "message"]
+        got = L.numbers(message["t"], np.uint32).astype(float) + 1
+        s, d = L.STRENGTH[0], L.DISCOUNT[0]
+        want = law_of_tables(c, d, lambda k, s=s, d=d, p=p: (s + d * (tables - 1 + k)) * p) @ np.arange(1, c + 1)
+        assert 0.8 * want < got.mean() < 1.2 * want
+
+
+class Fixed:
+    """A parent that gives a word one probability, whatever happens below."""
+
+    p = 0.05
+
+    def leave(self):
+        pass
+
+    def enter(self):
+        pass
+
+
+def test_moves_keep_the_law_of_tables():
+    d, s, c, draw = L.DISCOUNT[0], 16.0, 12, random.Random(5).random
+    want = law_of_tables(c, d, lambda k: (s + d * k) * Fixed.p)
+    t, sizes, n = 1, [c], 8000
+    seen = np.zeros((2, c))
+    for _ in range(n):
+        t, sizes = L.moved(c, t, s, d, Fixed(), draw), L.turned(sizes, s, d, Fixed(), draw)
+        assert sum(sizes) == c and 0 not in sizes
+        seen[0, t - 1] += 1
+        seen[1, len(sizes) - 1] += 1
+    assert np.abs(seen / n - want).max() < 0.03
+    for c, tables, vocabulary in ((30, 900, 600), (5, 50, 5), (2, 1, 3), (150, 3, 1)):
+        want = law_of_tables(c, L.DISCOUNT[1], lambda k, a=tables, v=vocabulary: (L.STRENGTH[1] + L.DISCOUNT[1] * (a + k)) / (v + 1))
+        got = L.parent_tables(np.full(20_000, c), np.full(20_000, tables), vocabulary, L.mixed(np.arange(20_000, dtype=np.uint64)))
+        assert np.abs(np.bincount(got, minlength=c + 1)[1:] / 20_000 - want).max() < 0.02
+        place, seen = L.Place(c, 1, 10_000, tables, vocabulary, draw), np.zeros(c)
+        for _ in range(n):
+            for _ in range(5):
+                place.leave()
+                place.enter()
+            seen[place.t - 1] += 1
+        assert place.c == c and np.abs(seen / n - want).max() < 0.05
+
+
+def test_large_cells_like_small_ones(monkeypatch):
+    """The same corpus with table sizes kept for all cells and for none."""
+    texts = ["a b a c a b", "b c c a e", "d a b f", "a b g", "c a b a b h d", "e f g h"] * 2
+    monkeypatch.setattr(L, "SAMPLES", 300)
+    small, _ = probabilities(texts, [], 2)
+    monkeypatch.setattr(L, "LARGE", 1)
+    large, _ = probabilities(texts, [], 2)
+    assert small.keys() == large.keys() and all(abs(p - large[k]) < 0.03 for k, p in small.items())
+    assert abs(np.mean([math.log10(p / large[k]) for k, p in small.items()])) < 0.02
+
+
+def test_one_customer_leaves_an_empty_place():
+    place = L.Place(1, 1, 10, 5, 6, random.Random(1).random)
+    place.leave()
+    assert (place.c, place.t) == (0, 0)
+    place.enter()
+    assert (place.c, place.t) == (1, 1)
