@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, pick
 
-#: Runs of these are words; all else separates (after lower-casing: digits, a-z and all beyond ASCII).
-LICENSE_WORD, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words; all else is of words (after lower-casing: digits, a-z and all beyond ASCII).
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts with capitals, character by character: Java looks such lists up in a table, but tries ranges one by one.
+ANY_CASE_BETWEEN = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+#: A word and all that separates it from its neighbours; possessive, since the classes are disjoint.
+ONE_WORD = f"[{ANY_CASE_BETWEEN}]*+[^{ANY_CASE_BETWEEN}]++[{ANY_CASE_BETWEEN}]*+"
 #: The phrases of the base count and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -206,7 +210,8 @@ SIGNATURES = [
 TIERS = 3
 #: Any match of a signature holds one of these, so a text without them has none.
 GATE_PHRASES = ["licen", "gpl", "spdx", "hereby granted", "substantial portions", "x consortium", "redistributions", "redistribution and use", "endorse or promote", "advertising materials", "bsd", "gnu", "free software", "freedom to share", "runtime library exception", "classpath exception", "apache", "cddl", "cecill", "cc0", "cc by", "creative commons", "creativecommons", "public domain", "mozilla", "commons clause", "rights reserved", "prior written", "confidential", "be used for good", "misrepresented", "altered source", "unencumbered", "terms as perl", "cryptographic software", "independent jpeg", "wtfpl", "package may be", "php software", "openssl project", "permission to use", "mit x11"]
-GATE = "(?i)" + "|".join(p.replace(" ", BETWEEN) for p in GATE_PHRASES)
+#: The same as a regex over single-spaced words.
+GATE = "|".join(GATE_PHRASES)
 #: A text's rows are spread over so many keys where they meet its labels.
 SALTS = 16
 
@@ -235,6 +240,21 @@ def _base(norm: Column) -> dict[str, Column]:
     return {"n_base": reduce(Column.__add__, n), "first_word": F.least(*first), "last_word": F.greatest(*last), "base": F.array_compact(F.array(*labels))}
 
 
+def _spaced(text: Column) -> Column:
+    """The words of a text, lower-cased, with one space before, between and behind them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), BETWEEN, " ")), F.lit(" "))
+
+
+def _n_words(text: Column) -> Column:
+    """Words of a text: each becomes one character, also one put behind the text, so that what separates is never left over."""
+    return F.length(F.regexp_replace(F.concat(text, F.lit(" a")), ONE_WORD, ".")) - 1
+
+
+def _gated(norm: Column) -> Column:
+    """norm where it holds a phrase of the gate, else null. An array carries norm, so that it is made once for all phrases, in filters too."""
+    return F.get(F.filter(F.array(norm), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(p)) for p in GATE_PHRASES])), F.lit(0))
+
+
 def detections(texts: DataFrame, spark: SparkSession) -> DataFrame:
     """key, norm -> key, label, tier, sure, first, end: what stays after suppression.
 
@@ -268,16 +288,14 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     d = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
-    gated = F.col("text").rlike(GATE)
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.col("text")), BETWEEN, " ")), F.lit(" "))
-    n = F.regexp_count("text", F.lit(LICENSE_WORD.replace(r"\x60", r"\x40\x5B-\x60")))
+    spaced = _spaced(F.col("text"))
     has = F.col("text").rlike("(?i)license")
     norm = F.when(has, F.replace(spaced, F.lit(" "), F.lit("  "))).otherwise(F.lit(""))
     norm = F.when(has, F.substring(norm, F.lit(2), F.length(norm) - 2)).otherwise(F.lit(""))
-    rows = d.select("doc_id", F.md5("text").alias("key"), n.cast("long").alias("n_words"), norm.alias("norm"))
+    rows = d.select("doc_id", F.md5("text").alias("key"), _n_words(F.col("text")).cast("long").alias("n_words"), norm.alias("norm"))
     b = _base(F.col("norm"))
     rows = rows.select("doc_id", "key", "n_words", *[c.alias(k) for k, c in b.items()])
-    texts = d.where(gated).select(F.md5("text").alias("key"), spaced.alias("norm")).groupBy("key").agg(F.first("norm").alias("norm"))
+    texts = d.select(F.md5("text").alias("key"), _gated(spaced).alias("norm")).where("norm IS NOT NULL").groupBy("key").agg(F.first("norm").alias("norm"))
     found = detections(texts, spark).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("sure").alias("sure"))
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))

@@ -130,3 +130,28 @@ def test_repeated_rows_nulls_and_empty_tables(frame):
 def test_no_python_in_the_plan(frame):
     plan = licenses.scan_licenses(frame([(1, "MIT license")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+ODD = ["", " ", "\x00", "a", " a", "a ", "\n\t a\x0b\x7f", "A_b@c[D]`e{f}~", "\U0001f600", "\U0001f600 -\u00e9\u212a.", "0\u00a09", "." * 100_000, "x" * 100_000, "a." * 50_000, ".a" * 50_000]
+
+
+def test_words_of_odd_texts(frame):
+    rows = {r["doc_id"]: r["n_words"] for r in licenses.scan_licenses(frame(list(enumerate(ODD)))).collect()}
+    assert rows == {i: brute(t)[0] for i, t in enumerate(ODD)}
+
+
+def test_gate_over_any_separators_and_case(spark):
+    between = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    gate = re.compile("|".join(p.replace(" ", between) for p in licenses.GATE_PHRASES))
+    texts = [made for p in licenses.GATE_PHRASES for made in (p, p.upper(), f"sub{p}s", p.replace(" ", "\n--_"), p.replace(" ", ""), p.replace(" ", "\u00a0"), p[1:], p.replace("i", "\u0130"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    passed = {r["i"] for r in docs.select("i", licenses._gated(licenses._spaced(docs["text"])).alias("norm")).where("norm IS NOT NULL").collect()}
+    assert passed == {i for i, t in enumerate(texts) if gate.search(t.translate(FOLD))} and 0 < len(passed) < len(texts)
+
+
+def test_whole_texts_are_gone_through_cheaply(frame):
+    """No list of all words of a text, no regex of forty branches at each of its places; a filter makes single-spaced words once."""
+    plan = licenses.scan_licenses(frame([(1, "MIT license")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"regexp_(?:extract_all|count)\((?:coalesce\()?text#", plan)
+    assert not re.search(r"RLIKE\([^\n]{0,60}, \(\?i\)licen\|", plan)
+    assert all(line.count("regexp_replace(") <= 1 for line in plan.splitlines() if re.match(r"[ :+-]*Filter ", line))
