@@ -45,6 +45,8 @@ SALTS = 8
 _CUT = np.uint64(int(LOW * 2**64))
 #: Bits of each bitmap (4 MB), minimum hashes of a class, members of a block, bytes of one task's sets.
 BITS, MINIMA, BLOCK, TASK_BYTES = 1 << 25, 4, 256, 12 << 20
+#: A group of more blocks than this, or of more than one share of queries, is large: one for each 1024 members or 2048 queries at most.
+LARGE = 4
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -288,6 +290,14 @@ def opened(rows: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "strong": np.array(strong, bool), "n": np.array(n, np.int64)})
 
 
+def with_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows with their group's blocks and shares, where it has any. The few large groups' are sent to all tasks, for one group may hold most rows."""
+    large = (F.col("blocks") > LARGE) | (F.col("shares") > 1)
+    few = F.broadcast(sizes.where(large))
+    rest = rows.join(few.select("grp"), "grp", "left_anti").join(sizes.where(~large).hint("merge"), "grp")
+    return rows.join(few, "grp").unionByName(rest)
+
+
 def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """met(q, grp, own), members(grp, cls) -> u, v, strong, n: links that connect each query with all members it has `least` percent in common with, and their numbers.
 
@@ -295,11 +305,10 @@ def compared(docs: DataFrame, classes: DataFrame, met: DataFrame, members: DataF
     unbounded group; blocks go to tasks by hash, about TASK_BYTES of sets to one.
     """
     met = stored(met.distinct(), "met")
-    groups = met.groupBy("grp").agg(F.count("*").alias("queries"))
-    held = members.join(groups, "grp")
-    sized = held.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.first("queries") / (8 * BLOCK)).cast("int").alias("shares"))
-    inside = stored(held.select("grp", "cls").join(sized, "grp"), "members")
-    asked = met.join(sized, "grp")
+    queries = met.groupBy("grp").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("shares"))
+    sizes = stored(members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(queries, "grp"), "sizes")
+    inside = stored(with_sizes(members.select("grp", "cls"), sizes), "members")
+    asked = with_sizes(met, sizes)
     sets = stored(sets_of(docs, classes, inside.select("cls").union(met.select(F.col("q").alias("cls")))), "sets")
     mean = sets.agg(F.coalesce(F.avg(F.octet_length("toks")), F.lit(0.0))).first()[0]
     tasks = max(2 * n_partitions(docs.sparkSession), math.ceil(mean * (inside.count() + met.count()) / TASK_BYTES))

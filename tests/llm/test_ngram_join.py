@@ -121,6 +121,24 @@ def linked_rows(docs):
     return sorted((i, sum(1 for k, o in enumerate(sets) if k != j and s and 100 * len(s & o) >= 80 * len(s | o))) for j, ((i, _), s) in enumerate(zip(docs, sets, strict=True)))
 
 
+def test_one_large_group_is_dealt_to_many_tasks(spark):
+    """Its members and queries meet the group's sizes in the tasks that hold them, not in one."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sizes = spark.createDataFrame([(7, 16, 2), (8, 1, 1)], "grp long, blocks int, shares int")
+        rows = spark.range(4000).select(J.F.lit(7).cast("long").alias("grp"), J.F.col("id").alias("cls"))
+        rows = rows.union(spark.createDataFrame([(8, -1), (9, -2), (None, -3)], "grp long, cls long"))
+        got = J.with_sizes(rows, sizes).withColumn("task", J.F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["grp"], r["cls"], r["blocks"], r["shares"]) for r in got) == [(7, i, 16, 2) for i in range(4000)] + [(8, -1, 1, 1)]
+    assert max(collections.Counter(r["task"] for r in got).values()) <= 2000
+
+
 def test_number_of_links(frame, monkeypatch):
     """Inside groups and between them, in one block or several, copies and repeated rows included."""
     rng = random.Random(13)
